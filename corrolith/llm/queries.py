@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corrolith.llm import byte_bpe, mixing, stream_dedup, token_counts, url_reputation
+from corrolith.llm import byte_bpe, html_extract, mixing, ngram_join, pii_crf, pivot_topk, quality_mil, stream_dedup, token_counts, url_reputation
 from corrolith.llm.common import table
 
 #: Where the vocabularies lie; on every worker.
@@ -19,6 +20,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
 
+#: Documents that score at least so much are kept.
+GOOD = 0.7
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_mil.Model:
+    """Learns from the labels of documents that are not held out."""
+    return quality_mil.fit(docs, labels.filter(~quality_mil.held_out("doc_id")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_mil.score_documents(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_mil.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.learn_weights(pages))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
@@ -27,18 +48,30 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "key")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = url_reputation.labelled_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return url_reputation.judge_urls(pages, outcomes)
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op4_exact_dedup, op5_mix_sources, op7_url_filter, op9_byte_bpe]
+    own = [op1_token_counts, op2_quality, op3_html_text, op4_exact_dedup, op5_mix_sources, op6_ngram_join, op7_url_filter, op8_exact_topk, op9_byte_bpe, op10_personal_data]
     return {f.__name__: f for f in own}
 
 
@@ -105,5 +138,26 @@ SELECT page_id, host, path, {_rule('rule')} AS rule, coalesce({_rule('verdict')}
 """
 
 
+OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS x FROM d),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c m ON m.doc_id = a JOIN c n ON n.doc_id = b WHERE 100 * i >= 80 * (m.n + n.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.o)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.o AS component_id FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT doc_id, min(o) AS o FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op5_mix_sources": OP5, "op7_url_filter": _op7()}
+    return {"op4_exact_dedup": OP4, "op5_mix_sources": OP5, "op6_ngram_join": OP6, "op7_url_filter": _op7(), "op8_exact_topk": OP8}
