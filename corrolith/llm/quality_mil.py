@@ -217,7 +217,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             x, n = passages(batch.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x.astype(np.float32), n).astype(np.float64)), *[batch.column(2)] * carry], ["doc_id", "score"] + ["__row"] * carry)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x.astype(np.float32), n).astype(np.float64)), *batch.columns[2:]], ["doc_id", "score"] + ["__row"] * carry)
 
         return each
 
