@@ -36,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_duplicates", near), ("mix", mix), ("byte_bpe", encode)]
 
-#: The learned classifier and the tokenizer are beyond SQL; tests/llm hold run() against a brute-force version.
+#: The learned classifier and the tokenizer are beyond SQL. The stages after the first are tested one by one; a brute-force test of run() is open.
 ORACLE_SQL = None
 
 
