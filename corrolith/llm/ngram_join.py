@@ -299,19 +299,24 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= PERCENT * union).alias("link"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
     """Connected components of undirected links: s and c, the least node of its component. Each step takes the least label
-    among neighbours and then the label of the label; tables cut the lineage."""
-    edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).filter("u <> v").distinct(), "join-edges")
-    labels = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("s"), F.least("u", "m").alias("c")), "join-labels")
+    among neighbours and then the label of the label; tables cut the lineage. known: components (s, c) of a part of the
+    links, from which the steps then start."""
+    ends = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    edges = written(ends.union(ends.select("v", "u")).filter("u <> v").distinct(), "join-edges")
+    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("s"), F.least("u", "m").alias("c"))
+    if known is not None:
+        labels = labels.join(known.withColumnRenamed("c", "k"), "s", "left").select("s", F.least("c", "k").alias("c"))
+    labels = written(labels, "join-labels")
     while True:
         near = edges.join(labels.select(F.col("s").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        lower = written(labels.join(near.withColumnRenamed("u", "s"), "s").select("s", F.least("c", "m").alias("d"), F.col("c").alias("old")), "join-lower")
-        jump = lower.select(F.col("s").alias("d"), F.col("d").alias("e"))
+        lower = labels.join(near.withColumnRenamed("u", "s"), "s").select("s", F.least("c", "m").alias("d"), F.col("c").alias("old"))
+        jump = labels.select(F.col("s").alias("d"), F.col("c").alias("e"))
         new = written(lower.join(jump, "d", "left").select("s", F.least("d", F.coalesce("e", "d")).alias("c"), "old"), "join-labels")
-        if new.filter("c <> old").isEmpty():
-            return new.select("s", "c")
         labels = new.select("s", "c")
+        if new.filter("c <> old").isEmpty():
+            return labels
 
 
 def _can_link(p: str, q: str):
@@ -366,19 +371,22 @@ def _linked(docs: DataFrame, lists: DataFrame, by_set: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "s binary, c binary")
     mask = spark.sparkContext.broadcast(_wanted_ids(nodes))
     sets = written(_sets(docs, nodes, mask), "join-shingles")
-    labels = spark.createDataFrame([], "s binary, c binary")
+    labels = None
     compared = spark.createDataFrame([], "a binary, b binary, link boolean")
     rows = entries.count()
     for turn in range(ROUNDS + 1):
-        now = entries.join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
-        mixed = now.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
-        open_ = written(now.join(mixed.select("t", "m"), "t"), "join-open")
-        if open_.isEmpty():
-            break
-        # pairs that are left, at most: of a list all pairs less those within its components
-        inner = open_.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
-        left = (open_.select(F.sum("m")).first()[0] - inner) // 2
-        last = turn == ROUNDS or turn and left <= 4 * rows
+        if labels is None:  # every set is its own component and every list is open
+            open_, last = entries.withColumn("c", F.col("s")), turn == ROUNDS
+        else:
+            now = entries.join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
+            mixed = now.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+            open_ = written(now.join(mixed.select("t", "m"), "t"), "join-open")
+            if open_.isEmpty():
+                break
+            # pairs that are left, at most: of a list all pairs less those within its components
+            inner = open_.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+            left = (open_.select(F.sum("m")).first()[0] - inner) // 2
+            last = turn == ROUNDS or left <= 4 * rows
         columns = lambda p: [F.col(x).alias(f"{p}{x}") for x in ("s", "n", "hi", "c")]
         if last:
             p, q = open_.select("t", *columns("p_")), open_.select("t", *columns("q_"))
@@ -393,10 +401,10 @@ def _linked(docs: DataFrame, lists: DataFrame, by_set: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
         if not pairs.isEmpty():
             compared = written(compared.union(_compared(pairs, sets).select("a", "b", "link")), "join-compared")
-            labels = components(compared.filter("link"))
+            labels = components(compared.filter("link"), known=labels)
         if last:
             break
-    return labels
+    return spark.createDataFrame([], "s binary, c binary") if labels is None else labels
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
