@@ -75,14 +75,17 @@ def _strength(level: DataFrame, how: Reputation) -> tuple[float, float]:
     return mean, round(min(max(strength, 1.0), how.strongest), 3)
 
 
-def host_reputation(outcomes: DataFrame, how: Reputation = Reputation()) -> DataFrame:
-    """outcomes: host, n, bad (labelled pages and bad ones; several rows of a host add up). One row per host: host, n, bad,
-    mean, bound, blocked. Hosts without a label are not listed; an empty host is treated like another."""
-    hosts = written(outcomes.filter("n > 0").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain_of(F.col("host"), how.two_part), "suffix": suffix_of(F.col("host"), how.two_part)}), "url-hosts")
+def host_reputation(outcomes: DataFrame, how: Reputation = Reputation(), hosts: DataFrame | None = None) -> DataFrame:
+    """outcomes: host, n, bad (labelled pages and bad ones; several rows of a host add up). hosts: host, further hosts to list.
+    One row per host: host, n, bad, mean, bound, blocked. A host without a label has n = 0 and the mean of its domain, else
+    of its suffix, else of all pages; it does not enter the prior strengths. An empty host is treated like another."""
+    counts = outcomes.filter("n > 0").select("host", "n", "bad")
+    if hosts is not None:
+        counts = counts.unionByName(hosts.select("host").distinct().withColumns({c: F.lit(0).cast(counts.schema[c].dataType) for c in ("n", "bad")}))
+    hosts = written(counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain_of(F.col("host"), how.two_part), "suffix": suffix_of(F.col("host"), how.two_part)}), "url-hosts")
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    mean, strong_suffix = _strength(suffixes, how)
-    (_, strong_domain), (_, strong_host) = _strength(domains, how), _strength(hosts, how)
+    (mean, strong_suffix), (_, strong_domain), (_, strong_host) = (_strength(level.filter("n > 0"), how) for level in (suffixes, domains, hosts))
     shrunk = lambda prior, m: (F.col("bad") + prior * F.lit(m)) / (F.col("n") + F.lit(m))
     suffixes = suffixes.select("suffix", shrunk(F.lit(mean), strong_suffix).alias("suffix_mean"))
     domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_mean"), strong_domain).alias("domain_mean"))
@@ -95,12 +98,13 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, how: Reputation = Reputati
     """One row per row of pages: page_id, host, path, rule, verdict.
 
     A null url, or one without ://, has an empty host and path and no rule; it is allowed unless the empty host itself is
-    blocked. Hosts without labelled pages are allowed. Repeated rows stay. Other columns are not carried.
+    blocked. Hosts without labelled pages are judged by their domain, suffix or all pages. Repeated rows stay. Other columns
+    are not carried.
     """
     url = F.col(url_col).cast("string")
     rule, verdict = rule_columns(rules)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    blocked = host_reputation(outcomes, how).filter("blocked").select("host", F.lit(True).alias("__blocked"))
+    blocked = host_reputation(outcomes, how, rows).filter("blocked").select("host", F.lit(True).alias("__blocked"))
     judged = rows.join(blocked, "host", "left").withColumns({"rule": rule, "__verdict": verdict})
     own = F.when(F.col("__blocked"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("__verdict", own).alias("verdict"))

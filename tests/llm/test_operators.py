@@ -7,7 +7,7 @@ import struct
 
 import compare
 import pytest
-from corrolith.llm import byte_bpe, html_extract, mixing, ngram_join, pii_crf, pivot_topk, quality_mil, queries as Q, stream_dedup, token_counts
+from corrolith.llm import byte_bpe, html_extract, mixing, ngram_join, pii_crf, pivot_topk, quality_mil, queries as Q, stream_dedup, token_counts, url_reputation
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\t", "a", "The the  THE　ﬁ naïve 'll I'LL 123456 -- ?!\n\n x", "é" * 300, "word " * 3000, "日本語テキスト 👩‍👩‍👧", "a" * 4000, "\u0000x​<|endoftext|>", "word " * 3000]
@@ -147,3 +147,11 @@ def test_pattern_spans_equal_the_patterns(spark):
 
 def test_personal_data_odd_input(odd, empty):
     assert pii_crf.find_personal_data(odd).count() == odd.count() and pii_crf.find_personal_data(empty).count() == 0
+
+
+def test_hosts_without_labels_take_the_posterior_of_their_domain(spark):
+    outcomes = spark.createDataFrame([("spam.example", 1000, 1000), ("b.good.example", 1000, 0), ("c.other.test", 1000, 0)], "host string, n long, bad long")
+    urls = {"x.spam.example": "block", "x.good.example": "allow", "new.example": "allow", "x.unknown.invalid": "allow"}
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(urls)], "page_id long, url string")
+    assert {r.host: r.verdict for r in url_reputation.judge_urls(pages, outcomes).collect()} == urls
+    assert {r.verdict for r in url_reputation.judge_urls(pages, outcomes.limit(0)).collect()} == {"allow"}
