@@ -110,21 +110,39 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, how: Reputation = Reputati
     return judged.select("page_id", "host", "path", "rule", F.coalesce("__verdict", own).alias("verdict"))
 
 
-def labelled_outcomes(pages: DataFrame, documents: DataFrame, labels: DataFrame, lead: int = 40) -> DataFrame:
+def _key(text: Column) -> Column:
+    """Digest of a text without its white space; null for a text of white space only."""
+    bare = F.regexp_replace(text, r"[\x20\x09-\x0D\u00A0]+", "")
+    return F.when(bare != "", F.unhex(F.sha2(bare, 256)))
+
+
+def _visible(markup: Column) -> Column:
+    """The text of markup: no comments, scripts, styles and tags, entities resolved."""
+    text = F.regexp_replace(markup, r"(?si)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def labelled_outcomes(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Outcomes of pages by host, from labels of the documents that they show: host, n, bad.
 
-    A page shows a labelled document when its first heading begins with the document's first `lead` characters (white space
-    squeezed). A label is bad when quality is 0 or toxic is 1. Labels are counted by these characters before pages meet
-    them, so neither a common beginning nor a large host makes more rows than there are beginnings.
+    A page shows a labelled document when the text of its article (else main, else body) is the whole text of the document,
+    with or without a first heading before it, white space aside. A label is bad when quality is 0 or toxic is 1. Each page
+    counts once; where labels of equal documents differ, it is bad by the share of bad ones. Pages and documents without
+    text show nothing. Labels are counted by digest before pages meet them, so neither common texts nor a large host make
+    more rows than there are texts.
     """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.select("doc_id", bad.cast("long").alias("bad"))
-    squeeze = lambda c: F.substring(F.trim(F.regexp_replace(F.substring(c, 1, 4 * lead), r"[\x20\x09-\x0D]+", " ")), 1, lead)
-    starts = documents.filter("text is not null").select("doc_id", squeeze(F.col("text")).alias("start"))
-    known = starts.join(marks, "doc_id").groupBy("start").agg(F.count(F.lit(1)).alias("labels"), F.sum("bad").alias("bad"))
-    known = known.select("start", (2 * F.col("bad") > F.col("labels")).cast("long").alias("bad"))
-    heading = F.regexp_extract("html", r"(?s)<h1[^>]*>([^<]*)", 1)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        heading = F.replace(heading, F.lit(entity), F.lit(char))
-    shown = pages.filter("html is not null").select(host_of(F.col("url")).alias("host"), squeeze(heading).alias("start")).groupBy("host", "start").agg(F.count(F.lit(1)).alias("pages"))
-    return shown.join(known, "start").groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.col("pages") * F.col("bad")).alias("bad"))
+    keys = documents.select("doc_id", _key(F.col("text")).alias("key")).filter("key is not null")
+    known = keys.join(marks, "doc_id").groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("bad").alias("bad"))
+    inside = [F.nullif(F.regexp_extract("html", rf"(?si)<{name}\b[^>]*>(.*)</{name}\s*>", 1), F.lit("")) for name in ("article", "main", "body")]
+    whole = F.coalesce(*inside, F.col("html"))
+    later = F.regexp_replace(whole, r"(?si)^.*?<h1\b[^>]*>.*?</h1\s*>", "")
+    shown = pages.filter("html is not null").select(host_of(F.col("url")).alias("host"), whole.alias("whole"), later.alias("later"))
+    found = F.array_distinct(F.array(_key(_visible(F.col("whole"))), _key(_visible(F.col("later")))))
+    shown = shown.select("host", found.alias("keys")).groupBy("host", "keys").agg(F.count(F.lit(1)).alias("pages")).select("host", "pages", F.explode("keys").alias("key")).filter("key is not null")
+    # exact decimals, so that the order in which sums are made can't move a verdict
+    share = (F.col("pages") * F.col("bad") / F.col("labels")).cast("decimal(28,9)")
+    return shown.join(known, "key").groupBy("host").agg(F.sum("pages").alias("n"), F.sum(share).cast("double").alias("bad"))

@@ -155,3 +155,16 @@ def test_hosts_without_labels_take_the_posterior_of_their_domain(spark):
     pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(urls)], "page_id long, url string")
     assert {r.host: r.verdict for r in url_reputation.judge_urls(pages, outcomes).collect()} == urls
     assert {r.verdict for r in url_reputation.judge_urls(pages, outcomes.limit(0)).collect()} == {"allow"}
+
+
+def test_pages_take_the_labels_of_the_documents_that_they_show(spark):
+    start = "The same forty characters begin this and"
+    texts = ["Short.", f"{start} good text", f"{start} bad text", "", None, "Twice  told", "Twice told"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in (2, 3, 4, 5)), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    page = "<html><title>t</title><body><nav>menu</nav>{}</body></html>".format
+    shown = [("a", page("<article><h1>Short.</h1><p><b>Short.</p></article>")), ("b", page(f"<article><h1>{start}</h1><p>{start} <i>bad</i>\ntext</p></article>")), ("c", page(f"<main><h1>{start} good text</h1></main>")),
+             ("d", page("<article><h1></h1></article>")), ("e", page("<p>no heading</p>")), ("f", page("<article><h1>Twice</h1>Twice told</article>")), ("g", None)]
+    pages = spark.createDataFrame([(f"http://{h}/", x) for h, x in shown], "url string, html string")
+    got = {r.host: (r.n, float(r.bad)) for r in url_reputation.labelled_outcomes(pages, docs, labels).collect()}
+    assert got == {"a": (1, 0.0), "b": (1, 1.0), "c": (1, 0.0), "f": (1, 0.5)}
