@@ -33,12 +33,17 @@ def vocabulary(concepts: DataFrame) -> DataFrame:
     return concepts.select("workspace_id", F.explode("related_entities").alias("entity")).distinct()
 
 
+#: Parts into which the owners of each entity are dealt, so that an entity with many owners is not one task's work.
+SLICES = 16
+
+
 def peers(concepts: DataFrame, least: int = 1) -> DataFrame:
-    """Active concepts and active project concepts of other workspaces that share at least `least` entities."""
+    """Active concepts and active project concepts of other workspaces that share at least `least` distinct entities."""
     idx = entity_index(concepts)
     scope = concepts.filter("lifecycle_scope = 'project'").select("concept_id")
     other = idx.join(scope, "concept_id", "left_semi").select("entity", F.col("concept_id").alias("peer_id"), F.col("workspace_id").alias("peer_ws"))
-    met = idx.join(other, "entity").filter("workspace_id <> peer_ws")
+    dealt = idx.withColumn("slice", F.pmod(F.hash("concept_id"), F.lit(SLICES)))
+    met = dealt.join(other.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), ["entity", "slice"]).filter("workspace_id <> peer_ws")
     return met.groupBy("concept_id", "peer_id").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= least)
 
 

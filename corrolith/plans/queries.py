@@ -135,7 +135,7 @@ def entity_vocabulary(spark, sf):
 
 @_query(NARROW + " SELECT a.concept_id, b.concept_id AS peer_id, count(*) AS overlap FROM i a JOIN i b ON a.entity = b.entity AND a.workspace_id <> b.workspace_id WHERE b.concept_id IN (SELECT concept_id FROM b_concept WHERE lifecycle_scope = 'project') GROUP BY 1, 2", CON)
 def cross_workspace_peers(spark, sf):
-    return graph.peers(_narrow(spark, sf))
+    return graph.peers(_con(spark, sf))  # over all related entities; the SQL above knows the narrow one only
 
 
 _SHARED = IDX + ", f AS (SELECT workspace_id, entity FROM i GROUP BY ALL HAVING count(*) <= 8), sh AS (SELECT a.workspace_id, a.concept_id AS src, b.concept_id AS dst, 'shared_entity' AS relation_type, 'repeated_occurrence' AS evidence FROM i a JOIN i b USING (workspace_id, entity) JOIN f USING (workspace_id, entity) WHERE a.concept_id < b.concept_id)"

@@ -68,3 +68,9 @@ def test_components_of_a_long_chain(spark):
 def test_unknown_status_is_an_error(spark):
     with pytest.raises(ValueError):
         ledger.by_status(spark.range(1), "w", "nonsense")
+
+
+def test_peers_share_any_related_entity(spark):
+    sql = f"{Q.with_sql(Q.CON)}{Q.IDX} SELECT a.concept_id, b.concept_id AS peer_id, count(*) AS overlap FROM i a JOIN i b ON a.entity = b.entity AND a.workspace_id <> b.workspace_id WHERE b.concept_id IN (SELECT concept_id FROM b_concept WHERE lifecycle_scope = 'project') GROUP BY 1, 2"
+    names, rows = compare.rows_of_spark(Q.cross_workspace_peers(spark, SF))
+    assert (names, rows) == compare.rows_of_sql(sql, SF) and max(r[1] for r in rows) >= 2
