@@ -73,6 +73,13 @@ FROM {lineitem} JOIN {part} p ON l_partkey = p.p_partkey JOIN {part} q ON l_supp
 WHERE l_linenumber = 7
 """,
 }
+# Each line item as an observation about a concept, with the status of b_observation.
+BRIDGE["b_claim"] = """
+SELECT concat('ws-', p_partkey % 5) AS workspace_id, concat(replace(p_name, ' ', '_'), '@', lower(p_brand)) AS subject_text, concat('b-', l_orderkey) AS extraction_batch_id,
+       CASE WHEN l_orderkey % 10 <= 3 THEN 'candidate' WHEN l_orderkey % 10 <= 5 THEN 'confirmed' WHEN l_orderkey % 10 = 6 THEN 'auto_confirmed'
+            WHEN l_orderkey % 10 = 7 THEN 'disputed' WHEN l_orderkey % 10 = 8 THEN 'superseded' ELSE 'rejected' END AS status
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+"""
 TABLES = {name: sorted(set(re.findall(r"{(\w+)}", sql))) for name, sql in BRIDGE.items()}
 
 

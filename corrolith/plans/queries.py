@@ -172,7 +172,7 @@ ba AS (SELECT a.concept_id AS src, b.concept_id AS dst, 'shared_session' AS rela
 
 @_query(_BATCH + _fold("ba"), CON, "b_cause")
 def batch_edges(spark, sf):
-    return _edges(graph.fold_edges(graph.batch_events(_narrow(spark, sf), frame(spark, sf, "b_cause"))))
+    return _edges(graph.fold_edges(graph.batch_events(_narrow(spark, sf), frame(spark, sf, "b_claim"))))  # all line items; the SQL above reads causes only
 
 
 @_query(_SHARED + """, e AS (SELECT src, dst, (1 + count(*)) / (2.0 + count(*)) AS weight FROM sh GROUP BY 1, 2), u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)

@@ -74,3 +74,12 @@ def test_peers_share_any_related_entity(spark):
     sql = f"{Q.with_sql(Q.CON)}{Q.IDX} SELECT a.concept_id, b.concept_id AS peer_id, count(*) AS overlap FROM i a JOIN i b ON a.entity = b.entity AND a.workspace_id <> b.workspace_id WHERE b.concept_id IN (SELECT concept_id FROM b_concept WHERE lifecycle_scope = 'project') GROUP BY 1, 2"
     names, rows = compare.rows_of_spark(Q.cross_workspace_peers(spark, SF))
     assert (names, rows) == compare.rows_of_sql(sql, SF) and max(r[1] for r in rows) >= 2
+
+
+def test_batch_edges_read_all_strictly_live_claims(spark):
+    sql = Q.with_sql(Q.CON, "b_claim") + Q._BATCH.replace("b_cause o JOIN", f"(SELECT * FROM b_claim WHERE {Q.STRICT}) o JOIN") + Q._fold("ba")
+    names, rows = compare.rows_of_spark(Q.batch_edges(spark, SF))
+    assert (names, rows) == compare.rows_of_sql(sql, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert set(Q.frame(spark, SF, "b_claim").groupBy("extraction_batch_id", "status").count().collect()) == set(Q.frame(spark, SF, Q.OBS).groupBy("extraction_batch_id", "status").count().collect())
+    assert Q.frame(spark, SF, "b_claim").count() == lines.count() and sum(rows.values()) > 0
