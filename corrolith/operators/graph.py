@@ -70,16 +70,27 @@ def batch_events(concepts: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def causes_events(concepts: DataFrame, obs: DataFrame) -> DataFrame:
-    """One event per strictly live `causes` observation, owner of its subject and other owner of its object."""
+    """One event per strictly live `causes` observation, owner of its subject and other owner of its object; with
+    observation_id and, where obs has it, created_ts."""
     idx = entity_index(concepts)
-    rows = strict(obs).filter("predicate = 'causes' AND object_text <> ''").select("workspace_id", "observation_id", "subject_text", "object_text", "source_type")
+    at = [c for c in ("created_ts",) if c in obs.columns]
+    rows = strict(obs).filter("predicate = 'causes' AND object_text <> ''").select("workspace_id", "observation_id", "subject_text", "object_text", "source_type", *at)
     a = idx.select("workspace_id", F.col("entity").alias("subject_text"), F.col("concept_id").alias("x"))
     b = idx.select("workspace_id", F.col("entity").alias("object_text"), F.col("concept_id").alias("y"))
     met = rows.join(a, ["workspace_id", "subject_text"]).join(b, ["workspace_id", "object_text"]).filter("x <> y")
     first = F.lit("repeated_occurrence")
     for source, evidence in vocab.FIRST_EVIDENCE.items():
         first = F.when(F.col("source_type") == source, evidence).otherwise(first)
-    return met.select("workspace_id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), F.lit("shared_entity").alias("relation_type"), first.alias("evidence"))
+    return met.select("workspace_id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), F.lit("shared_entity").alias("relation_type"), first.alias("evidence"), "observation_id", *at)
+
+
+def link_events(concepts: DataFrame, named: DataFrame, claims: DataFrame, causes: DataFrame) -> DataFrame:
+    """All events of a linking run with their phase: shared entities of concepts, then batches and
+    causes, whose texts name concepts by the entities of named."""
+    empty = {"observation_id": F.lit(None).cast("string"), "created_ts": F.lit(None).cast(causes.schema["created_ts"].dataType)}
+    phases = [shared_entity_events(concepts).withColumns(empty), batch_events(named, claims).withColumns(empty), causes_events(named, causes)]
+    a, b, c = (e.withColumn("phase", F.lit(i)) for i, e in enumerate(phases))
+    return a.unionByName(b).unionByName(c)
 
 
 def fold_edges(events: DataFrame) -> DataFrame:
@@ -105,6 +116,7 @@ def fold_edges_ordered(events: DataFrame, order: list[str]) -> DataFrame:
     run = events.withColumns({"__a": 1 + F.sum(da).over(upto), "__b": 1 + F.sum(db).over(upto), "__n": F.sum(((da + db) != 0).cast("long")).over(upto)})
     reached = F.when(F.col("evidence").isin("user_confirmation", "human_review_confirm"), 2).when((F.col("__a") / (F.col("__a") + F.col("__b")) >= 0.7) & (F.col("__n") >= 3), 1).otherwise(0)
     out = run.withColumn("__r", reached).groupBy("workspace_id", "src", "dst", "relation_type").agg(F.max("__a").alias("alpha"), F.max("__b").alias("beta"), F.max("__n").alias("evidence_count"), F.max("__r").alias("__r"))
+    out = out.withColumn("weight", F.col("alpha") / (F.col("alpha") + F.col("beta")))
     return out.withColumn("lifecycle", F.element_at(F.array(*map(F.lit, ("candidate", "validated", "confirmed"))), F.col("__r") + 1)).drop("__r")
 
 

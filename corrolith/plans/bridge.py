@@ -73,6 +73,8 @@ FROM {lineitem} JOIN {part} p ON l_partkey = p.p_partkey JOIN {part} q ON l_supp
 WHERE l_linenumber = 7
 """,
 }
+# The same with its time, by which evidence is folded in order.
+BRIDGE["b_cause_timed"] = BRIDGE["b_cause"].replace("'confirmed' AS status", "'confirmed' AS status, l_shipdate AS created_ts")
 # Each line item as an observation about a concept, with the status of b_observation.
 BRIDGE["b_claim"] = """
 SELECT concat('ws-', p_partkey % 5) AS workspace_id, concat(replace(p_name, ' ', '_'), '@', lower(p_brand)) AS subject_text, concat('b-', l_orderkey) AS extraction_batch_id,

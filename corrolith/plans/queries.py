@@ -147,6 +147,19 @@ def _fold(events: str) -> str:
 SELECT src, dst, relation_type, 1 + sum({_DELTA[0]}) AS alpha, 1 + sum({_DELTA[1]}) AS beta, count(*) FILTER ({_DELTA[0]} + {_DELTA[1]} <> 0) AS evidence_count, bool_or(evidence IN ('user_confirmation', 'human_review_confirm')) AS sure FROM {events} GROUP BY 1, 2, 3)"""
 
 
+def newest() -> list:
+    """Order of causes in an edge: the newest first; the rest tells rows of one time apart."""
+    return [F.desc("created_ts"), "observation_id", "evidence"]
+
+
+def _fold_ordered(events: str, order: str) -> str:
+    """As _fold, with the highest state reached at any prefix of the events."""
+    return f""" SELECT src, dst, relation_type, max(a) AS alpha, max(b) AS beta, max(n) AS evidence_count, round(max(a) / (max(a) + max(b)), 6) AS weight,
+CASE max(CASE WHEN evidence IN ('user_confirmation', 'human_review_confirm') THEN 2 WHEN a / (a + b) >= 0.7 AND n >= 3 THEN 1 ELSE 0 END) WHEN 2 THEN 'confirmed' WHEN 1 THEN 'validated' ELSE 'candidate' END AS lifecycle FROM (
+SELECT src, dst, relation_type, evidence, 1 + sum({_DELTA[0]}) OVER w AS a, 1 + sum({_DELTA[1]}) OVER w AS b, count(*) FILTER ({_DELTA[0]} + {_DELTA[1]} <> 0) OVER w AS n
+FROM {events} WINDOW w AS (PARTITION BY src, dst, relation_type ORDER BY {order} ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2, 3"""
+
+
 def _edges(df):
     return df.select("src", "dst", "relation_type", "alpha", "beta", "evidence_count", F.round("weight", 6).alias("weight"), "lifecycle")
 
@@ -163,7 +176,8 @@ _CAUSES = NARROW + """, ca AS (SELECT least(a.concept_id, b.concept_id) AS src,
 
 @_query(_CAUSES + _fold("ca"), CON, "b_cause")
 def causes_edges(spark, sf):
-    return _edges(graph.fold_edges(graph.causes_events(_narrow(spark, sf), frame(spark, sf, "b_cause"))))
+    # folded in order; the SQL above knows the final sums only
+    return _edges(graph.fold_edges_ordered(graph.causes_events(_narrow(spark, sf), frame(spark, sf, "b_cause_timed")), newest()))
 
 
 _BATCH = NARROW + """, m AS (SELECT DISTINCT o.workspace_id, extraction_batch_id, concept_id FROM b_cause o JOIN i ON o.workspace_id = i.workspace_id AND o.subject_text = i.entity),
@@ -175,6 +189,16 @@ def batch_edges(spark, sf):
     return _edges(graph.fold_edges(graph.batch_events(_narrow(spark, sf), frame(spark, sf, "b_claim"))))  # all line items; the SQL above reads causes only
 
 
+_LINK = _SHARED.replace(", i AS", ", i0 AS").replace("FROM i ", "FROM i0 ").replace("JOIN i ", "JOIN i0 ") + _CAUSES.replace("b_cause o", "b_cause_timed o").replace(" AS evidence\n", " AS evidence, created_ts, observation_id\n") + _BATCH.removeprefix(NARROW).replace("b_cause o JOIN", f"(SELECT * FROM b_claim WHERE {STRICT}) o JOIN") + """,
+ev AS (SELECT src, dst, relation_type, evidence, 0 AS phase, CAST(NULL AS TIMESTAMP) AS created_ts, CAST(NULL AS VARCHAR) AS observation_id FROM sh UNION ALL SELECT src, dst, relation_type, evidence, 1, NULL, NULL FROM ba UNION ALL SELECT src, dst, relation_type, evidence, 2, created_ts, observation_id FROM ca)"""
+
+
+@_query(_LINK + _fold_ordered("ev", "phase, created_ts DESC, observation_id, evidence"), CON, "b_cause_timed", "b_claim")
+def edge_evidence_fold(spark, sf):
+    con, narrow = _con(spark, sf), _narrow(spark, sf)
+    return _edges(graph.fold_edges_ordered(graph.link_events(con, narrow, frame(spark, sf, "b_claim"), frame(spark, sf, "b_cause_timed")), ["phase", *newest()]))
+
+
 @_query(_SHARED + """, e AS (SELECT src, dst, (1 + count(*)) / (2.0 + count(*)) AS weight FROM sh GROUP BY 1, 2), u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)
 SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INT) AS rank FROM u QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 5""", CON)
 def neighbors_topk(spark, sf):

@@ -83,3 +83,16 @@ def test_batch_edges_read_all_strictly_live_claims(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert set(Q.frame(spark, SF, "b_claim").groupBy("extraction_batch_id", "status").count().collect()) == set(Q.frame(spark, SF, Q.OBS).groupBy("extraction_batch_id", "status").count().collect())
     assert Q.frame(spark, SF, "b_claim").count() == lines.count() and sum(rows.values()) > 0
+
+
+def test_causes_edges_fold_in_order(spark):
+    causes = Q._CAUSES.replace("b_cause o", "b_cause_timed o").replace(" AS evidence\n", " AS evidence, created_ts, observation_id\n")
+    sql = Q.with_sql(Q.CON, "b_cause_timed") + causes + Q._fold_ordered("ca", "created_ts DESC, observation_id, evidence")
+    assert compare.rows_of_spark(Q.causes_edges(spark, SF)) == compare.rows_of_sql(sql, SF)
+
+
+def test_causes_validated_before_a_later_negation(spark):
+    con = spark.createDataFrame([("w", "a", "active", ["x"]), ("w", "b", "active", ["y"])], "workspace_id string, concept_id string, status string, related_entities array<string>")
+    rows = [("w", f"o{i}", "x", "causes", "y", s, "confirmed", i) for i, s in enumerate(["user_negation"] + ["user_message"] * 3)]
+    obs = spark.createDataFrame(rows, "workspace_id string, observation_id string, subject_text string, predicate string, object_text string, source_type string, status string, created_ts int")
+    assert graph.fold_edges_ordered(graph.causes_events(con, obs), Q.newest()).first().lifecycle == "validated"
