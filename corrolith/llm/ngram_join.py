@@ -75,7 +75,7 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
         place = np.resize(_PLACE, size) + np.arange(size, dtype=np.uint64) * np.uint64(2)
         runs = np.zeros(max(0, n - size + 1), np.uint64)
         for j in range(size):
-            runs += words[j : n - size + 1 + j] * place[j]
+            runs += words[j : j + len(runs)] * place[j]
         runs = _mixed(runs)
         out = []
         for a, b in zip(first.tolist(), first[1:].tolist()):

@@ -168,3 +168,11 @@ def test_pages_take_the_labels_of_the_documents_that_they_show(spark):
     pages = spark.createDataFrame([(f"http://{h}/", x) for h, x in shown], "url string, html string")
     got = {r.host: (r.n, float(r.bad)) for r in url_reputation.labelled_outcomes(pages, docs, labels).collect()}
     assert got == {"a": (1, 0.0), "b": (1, 1.0), "c": (1, 0.0), "f": (1, 0.5)}
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4, 5])
+def test_shingles_of_a_slice_of_few_words(words):
+    text = " ".join(f"w{i}" for i in range(words))
+    alone, beside = ngram_join.shingle_sets([text]), ngram_join.shingle_sets([text, "some other text of more than five words"])
+    assert len(alone[0]) == 1 and alone[0].tolist() == beside[0].tolist()
+    assert [len(s) for s in ngram_join.shingle_sets([None, *text.split()])] == [0] + [1] * words
