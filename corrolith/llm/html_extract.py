@@ -30,14 +30,19 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
 GAP = frozenset("br td th img wbr".split()) - {"wbr"}
 #: Elements that are never content.
-LEFT_OUT = frozenset("nav footer aside form script style noscript template svg math canvas iframe object embed audio video select button textarea input head title menu dialog noembed noframes datalist".split())
+LEFT_OUT = frozenset("nav footer aside form script style noscript template svg canvas iframe object embed audio video select button textarea input head title menu dialog noembed noframes datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in class and id that name what is not content.
+#: Classes (whole tokens) and ids (whole values) that name what is not content.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|sidebar\w*|side-?nav|nav|navbar|navigation|menu|menus|topbar|breadcrumbs?|pagination|pager|footer|masthead|site-?header|page-?header|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|share|sharing|social|related|recommend\w*|widget\w*|comments?|comment-?list|disqus\w*|respond|replies|reply|discussion|skip-?link|toolbar|search-?form)(?:$|[\s_-])",
+    r"(?:ads?|adv|advert\w*|adsense|adbox|adslot|(?:ads?|advert\w*)[_-](?:box|slot|unit|banner|container|wrapper)|banner|sponsor\w*|promo\w*|side-?bar|sidebar[_-](?:left|right|primary|secondary)|side-?nav|nav|navbar|navigation|(?:main|site)[_-]?nav(?:igation)?|"
+    r"nav[_-](?:menu|links|bar)|menu|menus|topbar|breadcrumbs?|pagination|pager|footer|site-?footer|page-?footer|masthead|site-?header|page-?header|cookies?|consent|gdpr|cookie[_-](?:banner|notice|consent|bar)|notices?|alert|popup|modal|overlay|"
+    r"newsletter|newsletter[_-](?:signup|form|box)|subscribe|subscription|signup|login|paywall|share|sharing|social|(?:social|share|sharing)[_-](?:share|sharing|links|buttons|bar|icons)|related|related[_-](?:posts|articles|stories|links|content)|recommend\w*|"
+    r"widget\w*|comments?|comments?[_-](?:list|form|area|section|body|respond)|disqus\w*|respond|replies|reply|discussion|skip-?link|toolbar|search-?form)",
     re.I,
 )
+#: Of these, classes that also mark passages of an article; inside one they don't count.
+PASSAGES = frozenset("notice notices alert discussion".split())
+HEADED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"option", "optgroup", "legend", "caption", "body", "html", "head", "summary", "title"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -55,28 +60,45 @@ class Node:
         self.key, self.words, self.text, self.marked, self.out, self.cut = key, words, text, marked, out, cut
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
+#: Why an element is left out: its class or id, or what it is.
+NAMED, KIND = 1, 2
+
+
+def _left_out(name: str, attributes: str, inside: bool) -> int:
+    """NAMED or KIND, 0 where the element stays."""
     if name in LEFT_OUT or name == "header" and not inside:
-        return True
+        return KIND
     if not attributes or name in ("body", "html", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return 0
+    named = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and NAMES.search(value):
-            return True
+        if key == "class" and any(NAMES.fullmatch(c) and not (inside and c.lower() in PASSAGES) for c in value.split()):
+            named = NAMED
+        if key == "id" and NAMES.fullmatch(value.strip()) and not (inside and name in HEADED):
+            named = NAMED
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return KIND
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return KIND
+    return named
 
 
 def parse(page: str) -> list[Node]:
-    """The sequence of a page, in one pass. Unclosed and crossing tags are closed as browsers do in the common cases."""
+    """The sequence of a page. Where all that the page marks lies in elements left out by name, their articles stay."""
+    nodes = _parse(page, False)
+    if not any(x.marked and x.words and not x.out for x in nodes) and re.search(r"<article\b", page, re.I):
+        return _parse(page, True)
+    return nodes
+
+
+def _parse(page: str, articles: bool) -> list[Node]:
+    """One pass. Unclosed and crossing tags are closed as browsers do in the common cases. A main element, and with
+    articles an article too, ends what an element around it leaves out by name."""
     nodes: list[Node] = []
-    stack: list[tuple[str, bool, int]] = []  # element, left out, marked
+    stack: list[tuple[str, int, int]] = []  # element, why left out, marked
     count, at, n = 0, 0, len(page)
-    out, marked = False, 0
+    out, marked = 0, 0
 
     def text(s: str) -> None:
         s = html.unescape(s) if "&" in s else s
@@ -84,18 +106,18 @@ def parse(page: str) -> list[Node]:
         if words:
             link = any(e[0] == "a" for e in stack[-3:])
             holder = next((e[0] for e in reversed(stack) if e[0] in BLOCK), "")
-            nodes.append(Node(f"{'a:' if link else ''}{holder}", words, s, marked, out, False))
+            nodes.append(Node(f"{'a:' if link else ''}{holder}", words, s, marked, out > 0, False))
         elif s:
-            nodes.append(Node("", 0, " ", marked, out, False))
+            nodes.append(Node("", 0, " ", marked, out > 0, False))
 
     def tag(name: str, cut: bool) -> None:
-        nodes.append(Node(f"<{name}>", 0, " " if name in GAP else "", marked, out, cut))
+        nodes.append(Node(f"<{name}>", 0, " " if name in GAP else "", marked, out > 0, cut))
 
     def pop() -> None:
         nonlocal out, marked
         name, _, _ = stack.pop()
         tag(name, name in BLOCK)
-        out, marked = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        out, marked = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -141,7 +163,9 @@ def parse(page: str) -> list[Node]:
             tag(name, name in BLOCK)
             at = n if not close else (page.find(">", close.end()) + 1 or n)
             continue
-        drop = out or _left_out(name, attributes, marked > 0)
+        own = _left_out(name, attributes, marked > 0)
+        around = 0 if out == NAMED and (name == "main" or articles and name == "article") else out
+        drop = max(around, own)
         if name in VOID:
             if not drop:
                 tag(name, name in BLOCK)

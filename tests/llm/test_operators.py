@@ -176,3 +176,17 @@ def test_shingles_of_a_slice_of_few_words(words):
     alone, beside = ngram_join.shingle_sets([text]), ngram_join.shingle_sets([text, "some other text of more than five words"])
     assert len(alone[0]) == 1 and alone[0].tolist() == beside[0].tolist()
     assert [len(s) for s in ngram_join.shingle_sets([None, *text.split()])] == [0] + [1] * words
+
+
+@pytest.mark.parametrize("body,want", [
+    ("<article><h2 id='related-work'>Related</h2><section id='discussion'>One two.</section><section id='social-history'>Three.</section><div class=related>more</div></article>", "Related\n\nOne two.\n\nThree."),
+    ("<div class='layout has-sidebar'><article>Some text.</article><div class=sidebar>side</div></div>", "Some text."),
+    ("<div class='content no-sidebar'><main>Some text.</main></div>", "Some text."),
+    ("<div class='social'><article>Some text.</article></div>", "Some text."),
+    ("<div id='menu'><main>Some text.</main></div>", "Some text."),
+    ("<article>Some text.</article><div class=comments><article>first!</article></div>", "Some text."),
+    ("<article>Let <math><mi>x</mi></math> be.</article>", "Let x be."),
+    ("<article>Text.<div class='notice'>Mind this.</div><div class='big ad'>buy</div></article>", "Text.\n\nMind this."),
+])
+def test_html_keeps_what_the_page_marks(body, want):
+    assert html_extract.main_text(f"<html><body><nav>a b</nav>{body}<footer>foot</footer></body></html>", html_extract.Weights()) == want
