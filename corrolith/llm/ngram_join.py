@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -407,9 +408,28 @@ def _linked(docs: DataFrame, lists: DataFrame, by_set: DataFrame) -> DataFrame:
     return spark.createDataFrame([], "s binary, c binary") if labels is None else labels
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of each row by its place in the files; rows that don't lie in files are first written."""
+
+    def at(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select("*", place["file_path"].alias("__file"), place["row_index"].alias("__place"))
+
+    try:
+        rows = at(docs) if docs.inputFiles() else at(written(docs, "join-rows"))
+    except AnalysisException:
+        rows = at(written(docs, "join-rows"))
+    files = sorted(f for (f,) in rows.select("__file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __file string")
+    return rows.join(F.broadcast(numbers), "__file").select(*[rows[c] for c in docs.columns], (F.shiftleft("__number", 40) + F.col("__place")).alias("__row"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, with all their columns; rows with a null id, and all
-    rows that share a kept id, stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("__id"), "left_anti").select(*[docs[c] for c in docs.columns])
+    """Exactly one row of each component, with all its columns: one with the least doc_id, a null id last; of rows that
+    share the least id any one. Rows are told apart by their place, so repeated and null ids don't matter."""
+    rows = _numbered(docs)
+    found = near_duplicates(rows, "__row", text_col).select(F.col("doc_id").alias("__row"), "component_id")
+    named = written(found.join(rows.select("__row", F.col(id_col).cast("long").alias("__id")), "__row"), "join-named")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("k")).select(F.col("k.__row").alias("__row"))
+    dropped = written(named.select("__row").join(kept, "__row", "left_anti"), "join-dropped")
+    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)

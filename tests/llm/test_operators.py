@@ -190,3 +190,15 @@ def test_shingles_of_a_slice_of_few_words(words):
 ])
 def test_html_keeps_what_the_page_marks(body, want):
     assert html_extract.main_text(f"<html><body><nav>a b</nav>{body}<footer>foot</footer></body></html>", html_extract.Weights()) == want
+
+
+def test_representatives_go_by_row(spark, tmp_path, empty):
+    near, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, near, "a"), (2, near, "b"), (2, other, "c"), (None, "x y z", "d"), (None, "x y z", "e"), (5, "p q", "f"), (5, "p q", "g"), (None, near, "h"), (7, None, "i"), (7, "", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        got = [r.mark for r in ngram_join.representatives(given).collect()]
+        left = set(got)
+        assert len(got) == 6 and {"a", "c", "i", "j"} <= left and len(left & {"d", "e"}) == 1 and len(left & {"f", "g"}) == 1
+    assert ngram_join.representatives(empty).count() == 0
