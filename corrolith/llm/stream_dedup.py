@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrolith.llm.common import ascii_lower, new_path, written
+from corrolith.llm.common import ascii_lower, fresh, is_file_scan, new_path, written
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,24 +34,23 @@ def sha256(body: Column) -> Column:
     return F.unhex(F.sha2(body, 256))
 
 
-def located(docs: DataFrame, columns: list[Column]) -> DataFrame:
-    """columns of docs with locator, a struct of file and row that tells all rows apart.
+def located(docs: DataFrame, locator: str) -> DataFrame:
+    """docs with the column locator, a struct of file and row that tells all rows apart.
 
-    Rows of Parquet files are located where they lie; others are first written to the shared folder.
+    Rows of a plain scan of files are located where they lie. Any other rows (made in memory, joined, exploded, united) are
+    first written to the shared folder, as their files' places would be missing or repeated.
     """
 
-    def at(df: DataFrame, cols: list[Column]) -> DataFrame:
+    def at(df: DataFrame) -> DataFrame:
         place = df.metadataColumn("_metadata")
-        return df.select(*cols, F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")).alias("locator"))
+        return df.select("*", F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")).alias(locator))
 
-    try:
-        found = at(docs, columns)
-        if docs.inputFiles():
-            return found
-    except AnalysisException:
-        pass
-    copy = written(docs.select(*columns), "dedup-rows")
-    return at(copy, [F.col(c) for c in copy.columns])
+    if is_file_scan(docs):
+        try:
+            return at(docs)
+        except AnalysisException:
+            pass  # a source that has no row numbers
+    return at(written(docs, "dedup-rows"))
 
 
 def fold_stream(keyed: DataFrame, path: str, bytes_per_trigger: int = 64 << 30) -> DataFrame:
@@ -81,13 +80,18 @@ def fold_stream(keyed: DataFrame, path: str, bytes_per_trigger: int = 64 << 30)
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_trigger: int = 64 << 30, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size long, kept boolean, text_sha256, locator.
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty, and empty texts are equal to each other.
-    Of a group the row with the largest doc_id stays; a null doc_id comes before any other, and of rows that share the
-    largest one (repeated rows) exactly one stays. group_size counts rows. An empty table gives an empty result. Other
-    columns are not read, so they may have any names. locator tells where the row lies.
+    Texts are equal when identical after lower-casing A-Z, however long; null counts as empty, and empty texts are equal to
+    each other. Of a group the row with the largest doc_id stays; a null doc_id comes before any other, and of rows that
+    share the largest one (repeated rows) exactly one stays. group_size counts rows. An empty table gives an empty result.
+    Other columns are not read, so they may have any names. locator tells where the row lies.
     """
-    spark = docs.sparkSession
-    rows = located(docs, [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")])
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return _dedup(located(own, "locator"), bytes_per_trigger, digest)
+
+
+def _dedup(rows: DataFrame, bytes_per_trigger: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """exact_dedup() of rows with doc_id, text and locator."""
+    spark = rows.sparkSession
     rows = rows.select("doc_id", "locator", ascii_lower(F.col("text")).cast("binary").alias("body"))
     rows = rows.withColumn("digest", digest(F.col("body")))
     exact = digest is sha256
@@ -116,10 +120,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup() keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("locator").alias("__locator"))
-    full = docs.columns
-    whole = docs if docs.inputFiles() else written(docs, "dedup-input")
-    place = whole.metadataColumn("_metadata")
-    rows = whole.withColumn("__locator", F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")))
-    return rows.join(kept, "__locator", "left_semi").select(*full)
+    """The rows of docs that exact_dedup() keeps, with all their columns, whatever their names."""
+    place, key = fresh(docs.columns, "__locator", "__key")
+    whole = located(docs, place)
+    rows = whole.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(place).alias("locator"))
+    kept = _dedup(rows, 64 << 30, sha256).filter("kept").select(F.col("locator").alias(key))
+    return whole.join(kept, whole[place] == kept[key], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
