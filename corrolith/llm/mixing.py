@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrolith.llm.common import WS, partitions, written
+from corrolith.llm.common import WS, fresh, partitions, written
 
 #: Hash keys are the first 40 bits of an MD5 digest.
 KEY_BITS = 40
@@ -35,10 +35,16 @@ def word_count(text: str):
     return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(F.col(text), f"^[{WS}]+", ""), f"[^{WS}]+[{WS}]*", "x")), F.lit(0)).cast("long")
 
 
+def hash_key(number: Column, text: Column) -> Column:
+    """The hash-random key of a row, from its id and text."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.lit(":"), text)), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """sizes: source, source_size, rows, one row per source. Adds target.
 
-    Targets share the mix by weight; those above their cap (epochs times the size) stop there and the excess is shared again
+    A null source is one source, the last; sources without words get target 0; no source gives no row. Targets share the
+    mix by weight; those above their cap (epochs times the size) stop there and the excess is shared again
     among the others until none is above. Only sums come to the driver.
     """
     ranked = _numbered(sizes)
@@ -76,10 +82,11 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
 
     taken is the number of words that the mix takes of the row, repeats counted: epochs times the size, and in the row at
     which the budget ends a part of it. Null texts have size 0, null sources are one source, repeated rows count each.
-    A source without words has target 0. The result depends on the rows alone, not on their order or partitions.
+    A source without words has target 0. Whole texts are counted, however long; an empty table gives none; other columns
+    are not read. The result depends on the rows alone, not on their order or partitions.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text)), 1, KEY_BITS // 4), 16, 10).cast("long")
+    key = hash_key(F.col(id_col).cast("long"), text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), text.alias("text"))
     rows = written(rows.select("doc_id", "source", "key", word_count("text").alias("size")), "mix-rows")
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), mix), "mix-targets")
@@ -103,13 +110,18 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
 
 
 def mixed_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns.
+    """The rows of docs as often as the mix takes them, with all their columns, whatever their names.
 
     A row at which a budget ends comes once more if the mix takes at least half of it. Rows without words are not taken.
+    Null ids and sources are taken like others; rows that share id, source and text are taken alike. An empty table gives
+    none.
     """
-    taken = mix_sources(docs, mix, id_col, text_col, source_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text)), 1, KEY_BITS // 4), 16, 10).cast("long")
-    copies = taken.filter("size > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("__copies")).filter("__copies > 0").groupBy("__id", "__source", "__key").agg(F.max("__copies").alias("__copies"))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (key == F.col("__key"))
-    return docs.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    names = fresh(docs.columns, "__id", "__source", "__key", "__copies", "__copy")
+    i, s, k, many, copy = names
+    taken = mix_sources(docs, mix, id_col, text_col, source_col).filter("size > 0")
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    copies = taken.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("key").alias(k), times.alias(many)).filter(F.col(many) > 0).groupBy(i, s, k).agg(F.max(many).alias(many))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    number, source = F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`").cast("string")
+    on = number.eqNullSafe(copies[i]) & source.eqNullSafe(copies[s]) & (hash_key(number, text) == copies[k])
+    return docs.join(copies, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*[F.col(f"`{c}`") for c in docs.columns])
