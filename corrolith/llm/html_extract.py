@@ -1,10 +1,11 @@
 """Main text of pages by the maximum-scoring subsequence of words and tags.
 
 A page becomes a sequence of text nodes and tags. Words score positive and tags negative; the weights are log-odds of lying
-in the main content, counted over all pages whose content is marked by an article or main element. One linear scan finds
-the contiguous region with the largest sum. Where the page marks its content, words outside the mark score negative and the
-region is widened to the marked element, so that no part of an article with many tags is lost. Menus, sidebars, adverts,
-forms, reader comments and the like are left out of the region by what their elements are and are called.
+in the main content, counted over all pages whose content is marked by an article or main element. On such pages the place
+of a word or tag tells whether it lies inside the mark, so words and tags there learn their own weights, and those around
+it score negative; on other pages the place is the block that holds it. One linear scan finds the contiguous region with the
+largest sum, and that region is the result. Menus, sidebars, adverts, forms, reader comments and the like are left out of
+the region by what their elements are and are called.
 """
 
 from __future__ import annotations
@@ -46,8 +47,13 @@ HEADED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"option", "optgroup", "legend", "caption", "body", "html", "head", "summary", "title"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Weight of a word outside the page's own mark, and of one inside an element that is left out; tags there weigh nothing.
-OUTSIDE, DROPPED = -3.0, -0.2
+#: Weight of a word inside an element that is left out; tags there weigh nothing.
+DROPPED = -0.2
+#: Places inside and outside the mark of a page that has one, and the weights of words and tags in places not counted.
+IN, OFF = "in/", "off/"
+UNSEEN = {IN: (1.0, -0.001), OFF: (-1.0, -0.5), "": (1.0, -0.5)}
+#: Largest weight of a place.
+MOST = 3.0
 
 
 class Node:
@@ -180,17 +186,16 @@ def _parse(page: str, articles: bool) -> list[Node]:
 
 
 class Weights:
-    """words and tags: weight of a word in each place and of each tag; other keys have the default."""
+    """words and tags: weight of a word in each place and of each tag; other places have those of UNSEEN."""
 
     def __init__(self, words: dict[str, float] | None = None, tags: dict[str, float] | None = None):
         self.words, self.tags = words or {}, tags or {}
 
     def of(self, node: Node, has_mark: bool) -> float:
+        place = (IN if node.marked else OFF) if has_mark else ""
         if node.words:
-            if has_mark and not node.marked:
-                return node.words * OUTSIDE
-            return node.words * (DROPPED if node.out else self.words.get(node.key, 1.0))
-        return self.tags.get(node.key, -0.5) if node.key and not node.out else 0.0
+            return node.words * (DROPPED if node.out else self.words.get(place + node.key, UNSEEN[place][0]))
+        return self.tags.get(place + node.key, UNSEEN[place][1]) if node.key and not node.out else 0.0
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -205,26 +210,20 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return start, end
 
 
+def has_mark(nodes: list[Node]) -> bool:
+    """Whether the page marks its content."""
+    return any(x.marked and x.words and not x.out for x in nodes)
+
+
 def main_text(page: str | None, weights: Weights) -> str:
-    """The main text: blocks joined by blank lines."""
+    """The main text: blocks joined by blank lines. Words of the region that score negative by themselves are no part."""
     if not page:
         return ""
     nodes = parse(page)
-    has_mark = any(x.marked and x.words and not x.out for x in nodes)
-    start, end = best_region([weights.of(x, has_mark) for x in nodes])
-    if start == end:
-        return ""
-    region = nodes[start:end]
-    if has_mark:
-        kept = Counter()
-        for x in region:
-            if x.words and not x.out:
-                kept[x.marked] += x.words
-        wanted = {k for k in kept if k}
-        if wanted:
-            first = next(i for i, x in enumerate(nodes) if x.marked in wanted)
-            last = max(i for i, x in enumerate(nodes) if x.marked in wanted)
-            region = [x for x in nodes[min(first, start) : max(last + 1, end)] if x.marked in wanted or not x.words]
+    mark = has_mark(nodes)
+    scores = [weights.of(x, mark) for x in nodes]
+    start, end = best_region(scores)
+    region = [x for x, w in zip(nodes[start:end], scores[start:end]) if not x.words or w > 0]
     blocks: list[str] = []
     parts: list[str] = []
     for x in region:
@@ -239,11 +238,19 @@ def main_text(page: str | None, weights: Weights) -> str:
     return "\n\n".join(b for b in blocks if b)
 
 
+_INLINE = ("<a>", "<b>", "<i>", "<em>", "<strong>", "<span>", "<br>", "<img>", "<td>", "<th>", "a:", "")
+
+
+def _counted(key: str) -> str:
+    """The place under which a node counts; unknown element names share one."""
+    return key if key.strip("<>a:") in BLOCK or key in _INLINE else "<?>" if key.startswith("<") else "?"
+
+
 def learn_weights(pages: DataFrame, html_col: str = "html") -> Weights:
     """Weights from all pages that mark their content, the labelled pages: log-odds of lying inside the mark.
 
-    Only counts by kind of place come to the driver; unknown element names share one kind. Without labelled pages every
-    word weighs 1 and every tag -0.5.
+    Only counts by place come to the driver, and there are as many places as element names in three kinds. Without
+    labelled pages the weights of UNSEEN hold. Null and empty pages, and an empty table, count nothing.
     """
 
     def make():
@@ -251,11 +258,11 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> Weights:
             inside, outside = Counter(), Counter()
             for page in batch.column(0).to_pylist():
                 nodes = parse(page)
-                if any(x.marked and x.words and not x.out for x in nodes):
+                if has_mark(nodes):
                     for x in nodes:
-                        if x.key:
-                            place = x.key if x.key.strip("<>a:") in BLOCK or x.key in ("<a>", "<b>", "<i>", "<em>", "<strong>", "<span>", "<br>", "<img>", "<td>", "<th>", "a:", "") else "?" if x.words else "<?>"
-                            (inside if x.marked and not x.out else outside)[place] += max(1, x.words)
+                        if x.key and not x.out:
+                            for place in ((IN if x.marked else OFF) + _counted(x.key), _counted(x.key)):
+                                (inside if x.marked else outside)[place] += max(1, x.words)
             keys = sorted(inside.keys() | outside.keys())
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], ["place", "inside", "outside"])
 
@@ -265,11 +272,12 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> Weights:
     counts = map_text(rows, "place string, inside long, outside long", "html", make).groupBy("place").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     words, tags = {}, {}
     for place, inside, outside in counts:
-        odds = math.log((inside + 1) / (outside + 1))
-        if place.startswith("<"):
-            tags[place] = -0.2 - min(3.0, max(0.0, -odds))
+        odds = max(-MOST, min(MOST, math.log((inside + 1) / (outside + 1))))
+        kind = IN if place.startswith(IN) else OFF if place.startswith(OFF) else ""
+        if place[len(kind) :].startswith("<"):
+            tags[place] = UNSEEN[IN][1] if kind == IN else -0.2 - max(0.0, -odds)
         else:
-            words[place] = min(3.0, max(0.1, odds))
+            words[place] = odds if kind == OFF else max(0.1, odds)
     return Weights(words, tags)
 
 
@@ -277,7 +285,8 @@ def extract(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col
     """One row per page: page_id, url, text, n_chars long (code points).
 
     A null or empty page, and one without content, has an empty text; repeated rows and null ids stay; an empty table gives
-    none; other columns are not carried.
+    none; other columns are not carried, so they may have any names. Whole pages are read, however long or deeply nested;
+    of regions with equal sums the first and longest stays.
     """
 
     def make():
