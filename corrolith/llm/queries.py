@@ -115,26 +115,44 @@ def _rule(value: str) -> str:
 
 
 def _op7() -> str:
-    squeeze = r"substr(trim(regexp_replace(substr({0}, 1, 160), '[\x20\x09-\x0D]+', ' ', 'g')), 1, 40)"
-    heading = r"replace(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')".replace('\\"', '"')
-    strength = lambda t: f"(SELECT round(least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000.0 END, 1.0), 1000.0), 3) FROM (SELECT any_value(m) AS m, sum(n * (bad / n - m) * (bad / n - m)) / sum(n) AS v FROM {t}, (SELECT sum(bad) / sum(n) AS m FROM {t})))"
-    suffix = lambda h: f"CASE WHEN {two(h)} IN ('co.uk', 'org.uk', 'com.au', 'co.jp', 'com.br') THEN {two(h)} ELSE list_extract(string_split({h}, '.'), -1) END"
-    two = lambda h: f"array_to_string(list_slice(string_split({h}, '.'), -2, -1), '.')"
-    three = lambda h: f"array_to_string(list_slice(string_split({h}, '.'), -3, -1), '.')"
+    """Rules, labelled outcomes by whole texts, posteriors from host to domain to suffix to all pages, and the bound."""
+    bare = lambda x: rf"regexp_replace({x}, '[\x20\x09-\x0D\x{{A0}}]+', '', 'g')"
+    inside = lambda name: rf"nullif(regexp_extract(html, '(?si)<{name}\b[^>]*>(.*)</{name}\s*>', 1), '')"
+
+    def visible(x: str) -> str:
+        out = rf"regexp_replace({x}, '(?si)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>', ' ', 'g')"
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+            out = f"replace({out}, '{entity}', '{char}')"
+        return out
+
+    second = ", ".join(f"'{x}'" for x in url_reputation.SECOND_LEVEL)
+    name = r"regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '')"
+    last = lambda k: f"array_to_string(list_slice(string_split(name, '.'), -{k}, -1), '.')"
+    address = r"(regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') OR starts_with(name, '['))"
+    double = f"(regexp_matches({last(1)}, '^[a-z]{{2}}$') AND list_extract(string_split(name, '.'), -2) IN ({second}))"
+
+    def strength(t: str) -> str:
+        return f"""(SELECT round(least(greatest(CASE WHEN m * (1 - m) > 0 AND room > 0 AND spread / (m * (1 - m)) - (g - 1) > 0 THEN room / (spread / (m * (1 - m)) - (g - 1)) - 1 ELSE 1000.0 END, 1.0), 1000.0), 3)
+  FROM (SELECT any_value(m) AS m, sum(n * (bad / n - m) * (bad / n - m)) AS spread, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, count(*) AS g FROM {t}, (SELECT sum(bad) / sum(n) AS m FROM {t}) WHERE n > 0))"""
+
     return f"""
 WITH marks AS (SELECT doc_id, CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END AS bad FROM labels),
-known AS (SELECT start, CASE WHEN 2 * sum(bad) > count(*) THEN 1 ELSE 0 END AS bad FROM (SELECT doc_id, {squeeze.format('text')} AS start FROM documents WHERE text IS NOT NULL) d JOIN marks USING (doc_id) GROUP BY start),
-shown AS (SELECT {_HOST.format('url')} AS host, {squeeze.format(heading)} AS start FROM pages WHERE html IS NOT NULL),
-hosts AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad, CASE WHEN {two('host')} IN ('co.uk', 'org.uk', 'com.au', 'co.jp', 'com.br') THEN {three('host')} ELSE {two('host')} END AS domain, {suffix('host')} AS suffix FROM shown JOIN known USING (start) GROUP BY host),
+known AS (SELECT key, count(*) AS labels, sum(bad) AS bad FROM (SELECT doc_id, {bare('text')} AS key FROM documents) JOIN marks USING (doc_id) WHERE key <> '' GROUP BY key),
+p AS (SELECT page_id, {_HOST.format('url')} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+whole AS (SELECT host, coalesce({inside('article')}, {inside('main')}, {inside('body')}, html) AS whole FROM p WHERE html IS NOT NULL),
+shown AS (SELECT host, unnest(list_distinct([{bare(visible('whole'))}, {bare(visible(r"regexp_replace(whole, '(?si)^.*?<h1\b[^>]*>.*?</h1\s*>', '')"))}])) AS key FROM whole),
+pages_of AS (SELECT host, key, count(*) AS pages FROM shown WHERE key <> '' GROUP BY host, key),
+outcomes AS (SELECT host, CAST(sum(pages) AS DOUBLE) AS n, CAST(sum(CAST(CAST(pages * k.bad AS DOUBLE) / labels AS DECIMAL(28, 9))) AS DOUBLE) AS bad FROM pages_of JOIN known k USING (key) GROUP BY host),
+named AS (SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, {name} AS name FROM (SELECT DISTINCT host FROM p) LEFT JOIN outcomes USING (host)),
+hosts AS (SELECT host, n, bad, CASE WHEN {address} THEN name WHEN {double} THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {address} THEN name WHEN {double} THEN {last(2)} ELSE {last(1)} END AS suffix FROM named),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 k AS (SELECT {strength('suffixes')} AS ks, {strength('domains')} AS kd, {strength('hosts')} AS kh, (SELECT sum(bad) / sum(n) FROM suffixes) AS m),
 ps AS (SELECT suffix, (bad + ks * m) / (n + ks) AS p FROM suffixes, k),
 pd AS (SELECT domain, (bad + kd * p) / (n + kd) AS p FROM domains JOIN ps USING (suffix), k),
 ph AS (SELECT host, n, (bad + kh * p) / (n + kh) AS p, kh FROM hosts JOIN pd USING (domain), k),
-blocked AS (SELECT host FROM ph WHERE p - 2.0 * sqrt(p * (1 - p) / (n + kh + 1)) > 0.5),
-u AS (SELECT page_id, {_HOST.format('url')} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, host, path, {_rule('rule')} AS rule, coalesce({_rule('verdict')}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM u
+blocked AS (SELECT host FROM ph WHERE p - 2.0 * sqrt(p * (1 - p) / (n + kh + 1)) > 0.5)
+SELECT page_id, host, path, {_rule('rule')} AS rule, coalesce({_rule('verdict')}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """
 
 

@@ -2,8 +2,9 @@
 
 Labelled page outcomes (good or bad) are counted by host, registered domain and suffix. Bad rates are shrunk downwards: the
 suffix towards all pages, the domain towards its suffix, the host towards its domain, each time through a beta-binomial
-prior whose strength comes from the spread of the rates at that level (method of moments). A host is blocked when the lower
-bound of its posterior bad rate is above a threshold. Rules come before the reputation.
+prior whose strength comes from the spread of the true rates at that level: the spread of the observed rates less what
+binomial noise adds (moments of the beta-binomial). A host is blocked when the lower bound of its posterior bad rate is
+above a threshold. Rules come before the reputation.
 """
 
 from __future__ import annotations
@@ -19,15 +20,21 @@ from corrolith.llm.common import UPPER, LOWER, written
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
+#: Names under a country's domain that take registrations, as `co` in example.co.uk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gen", "go", "gob", "gov", "gouv", "id", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch", "web")
+
+
 @dataclass(frozen=True)
 class Reputation:
     """deviations: how many posterior standard deviations the bound lies below the mean; threshold: bad rate above which a
-    host is blocked; strongest: the largest prior strength in pages; two_part: suffixes of two labels."""
+    host is blocked; strongest: the largest prior strength in pages; second_level: names that form a suffix of two labels with
+    a last label of two letters; suffixes: further suffixes of two labels, such as github.io."""
 
     deviations: float = 2.0
     threshold: float = 0.5
     strongest: float = 1000.0
-    two_part: tuple[str, ...] = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
+    second_level: tuple[str, ...] = SECOND_LEVEL
+    suffixes: tuple[str, ...] = ()
 
 
 def host_of(url: Column) -> Column:
@@ -53,24 +60,42 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def suffix_of(host: Column, two_part=Reputation().two_part) -> Column:
-    two, one = F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
-    return F.when(two.isin(*two_part), two).otherwise(one)
+def _name(host: Column) -> Column:
+    """The host without user, port and a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def _address(name: Column) -> Column:
+    return name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | name.startswith("[")
+
+
+def suffix_of(host: Column, how: Reputation = Reputation()) -> Column:
+    """The public suffix: the last label, or the last two where they are known to take registrations. An address is its own."""
+    name = _name(host)
+    two, one = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    double = one.rlike("^[a-z]{2}$") & F.substring_index(two, ".", 1).isin(*how.second_level) & (two != one)
+    return F.when(_address(name), name).when((double | two.isin(*how.suffixes)) if how.suffixes else double, two).otherwise(one)
 
 
-def domain_of(host: Column, two_part=Reputation().two_part) -> Column:
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(two.isin(*two_part), three).otherwise(two)
+def domain_of(host: Column, how: Reputation = Reputation()) -> Column:
+    """The registered domain: the suffix and the label before it, if there is one."""
+    name, suffix = _name(host), suffix_of(host, how)
+    return F.when(_address(name), name).when(F.instr(suffix, ".") > 0, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def _strength(level: DataFrame, how: Reputation) -> tuple[float, float]:
-    """Mean bad rate and prior strength from counts (n, bad) by group."""
-    n, bad = level.agg(F.sum("n"), F.sum("bad")).first()
+    """Mean bad rate and prior strength from counts (n, bad) by group. The weighted squares of the rates around their mean
+    are, in the mean, m (1 - m) (groups - 1 + r (N - squares / N - groups + 1)) with r = 1 / (strength + 1)."""
+    n, bad, squares, groups = level.agg(F.sum("n"), F.sum("bad"), F.sum(F.col("n").cast("double") * F.col("n")), F.count(F.lit(1))).first()
     if not n:
         return 0.0, how.strongest
     mean = bad / n
-    spread = level.agg(F.sum(F.col("n") * (F.col("bad") / F.col("n") - F.lit(mean)) * (F.col("bad") / F.col("n") - F.lit(mean)))).first()[0] / n
-    strength = mean * (1 - mean) / spread - 1 if spread > 0 else how.strongest
+    around = F.col("bad") / F.col("n") - F.lit(mean)
+    spread = level.agg(F.sum(F.col("n") * around * around)).first()[0]
+    room = n - squares / n - (groups - 1)
+    noise = mean * (1 - mean)
+    r = (spread / noise - (groups - 1)) / room if noise > 0 and room > 0 else 0.0
+    strength = 1 / r - 1 if r > 0 else how.strongest
     # rounded, so that the order in which sums are made can't move a verdict
     return mean, round(min(max(strength, 1.0), how.strongest), 3)
 
@@ -78,11 +103,12 @@ def _strength(level: DataFrame, how: Reputation) -> tuple[float, float]:
 def host_reputation(outcomes: DataFrame, how: Reputation = Reputation(), hosts: DataFrame | None = None) -> DataFrame:
     """outcomes: host, n, bad (labelled pages and bad ones; several rows of a host add up). hosts: host, further hosts to list.
     One row per host: host, n, bad, mean, bound, blocked. A host without a label has n = 0 and the mean of its domain, else
-    of its suffix, else of all pages; it does not enter the prior strengths. An empty host is treated like another."""
+    of its suffix, else of all pages; it does not enter the prior strengths. An empty host is treated like another. Rows
+    with n = 0 or a null host are ignored; no outcomes at all block nothing."""
     counts = outcomes.filter("n > 0").select("host", "n", "bad")
     if hosts is not None:
         counts = counts.unionByName(hosts.select("host").distinct().withColumns({c: F.lit(0).cast(counts.schema[c].dataType) for c in ("n", "bad")}))
-    hosts = written(counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain_of(F.col("host"), how.two_part), "suffix": suffix_of(F.col("host"), how.two_part)}), "url-hosts")
+    hosts = written(counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain_of(F.col("host"), how), "suffix": suffix_of(F.col("host"), how)}), "url-hosts")
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     (mean, strong_suffix), (_, strong_domain), (_, strong_host) = (_strength(level.filter("n > 0"), how) for level in (suffixes, domains, hosts))
