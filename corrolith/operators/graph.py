@@ -16,6 +16,12 @@ def visible(concepts: DataFrame, workspace: str, domains: list[str], with_global
     return concepts.filter((F.col("workspace_id") == workspace) | ((F.col("lifecycle_scope") == "global") & F.lit(with_global)) | domain)
 
 
+def elevated(concepts: DataFrame, domains: list[str], with_global: bool = True) -> DataFrame:
+    """Concepts that any workspace can see: global ones, and those of a named domain."""
+    domain = (F.col("lifecycle_scope") == "domain") & F.col("scope_key").isin(*domains) if domains else F.lit(False)
+    return concepts.filter(((F.col("lifecycle_scope") == "global") & F.lit(with_global)) | domain)
+
+
 def entity_index(concepts: DataFrame, entities: str = "related_entities") -> DataFrame:
     """One row per active concept and distinct entity."""
     rows = concepts.filter("status = 'active'")

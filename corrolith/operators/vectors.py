@@ -1,11 +1,15 @@
-"""Similarity of vectors: top-k, pairs under a distance, components, and the fusion of ranked lists."""
+"""Similarity of vectors: top-k, connected components, and the fusion of ranked lists. Pairs are in clusters."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrolith.functions.scalars import cosine, dot, norm
+from corrolith.functions.scalars import cosine
 
 
 def topk(vectors: DataFrame, query: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
@@ -17,31 +21,73 @@ def topk(vectors: DataFrame, query: DataFrame, k: int = 10, least: float = -1.0)
     return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "source_id").limit(k)
 
 
-def near_pairs(vectors: DataFrame, distance: float, by: str = "workspace_id") -> DataFrame:
-    """Pairs of one workspace within a cosine distance. Exact within each workspace, whose input the caller bounds."""
-    unit = vectors.select(by, "source_id", F.transform("vector", lambda x: x / 1.0).alias("v"), norm(F.col("vector")).alias("n")).filter("n > 0")
-    a, b = unit.select(by, F.col("source_id").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), unit.select(by, F.col("source_id").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    met = a.join(b, by).filter("a < b").withColumn("distance", 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")))))
-    return met.filter(F.col("distance") <= distance).select(by, "a", "b", "distance")
-
-
-def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """Smallest node reachable from each node, by passing minima along edges and jumping to the label's label. Lineage is
-    cut by checkpoint() in each round where the session has a checkpoint folder; the loop ends when no label changes."""
-    sc = nodes.sparkSession.sparkContext
-    cut = lambda df: df.checkpoint() if sc.getCheckpointDir() else df.persist()
-    edges = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select(F.col("node"), F.col("node").alias("label"))
-    for _ in range(rounds):
-        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("j"))
-        step = cut(step.join(jump, "label").select("node", F.least("label", "j").alias("label"), "old"))
-        changed = step.filter("label <> old").limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+def forest(edges: list[tuple]) -> dict:
+    """The least node of the component of each node that is not it."""
+    up: dict = {}
+
+    def root(x):
+        at = x
+        while (above := up.get(at, at)) != at:
+            at = above
+        while (above := up.get(x, x)) != at:
+            up[x], x = at, above
+        return at
+
+    for u, v in edges:
+        p, q = root(u), root(v)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+    return {x: root(x) for x in list(up)}
+
+
+#: Edges that a task's forest holds at once.
+HELD = 500_000
+
+
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and label, the smallest node reachable from it over pairs (a, b).
+
+    Each round, every task replaces its edges by a forest of stars. A node with several roots links them to the least one,
+    and roots that have a root themselves are replaced by it, until nothing changes; rounds grow with the logarithm of the
+    longest chain. Lineage is cut by checkpoint(), so the session needs a checkpoint folder: see checkpointed().
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        shown = lambda: pd.DataFrame(list(forest(held).items()), columns=["s", "c"])
+        for f in frames:
+            held += [(u, v) for u, v in zip(f["s"], f["c"]) if u != v]
+            if len(held) >= HELD:
+                yield shown()
+                held = []
+        if held:
+            yield shown()
+
+    now = pairs.select(F.col("a").cast(kind).alias("s"), F.col("b").cast(kind).alias("c"))
+    while True:
+        now = checkpointed(now.mapInPandas(stars, f"s {kind}, c {kind}"))
+        least = now.groupBy("s").agg(F.min("c").alias("m"))
+        told = now.join(least, "s").join(least.select(F.col("s").alias("m"), F.col("m").alias("up")), "m", "left")
+        to = F.coalesce("up", "m")
+        ends = F.explode(F.array("s", "c", "m"))
+        rows = told.select(ends.alias("s"), to.alias("c"), (F.col("up").isNotNull() | (F.col("c") != F.col("m"))).alias("moved"))
+        new = checkpointed(rows.filter("s <> c").groupBy("s", "c").agg(F.max("moved").alias("moved")))
+        if new.filter("moved").isEmpty():
+            return nodes.join(new.select(F.col("s").alias("node"), "c"), "node", "left").select("node", F.coalesce("c", "node").alias("label"))
+        now = new.select("s", "c")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from files in the checkpoint folder. Where the session names none, a temporary one in local mode, where all tasks
+    share the driver's disk; on a cluster that is an error."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corrolith-"))
+    return df.checkpoint()
 
 
 def fuse(ranked: DataFrame, k: int = 60) -> DataFrame:

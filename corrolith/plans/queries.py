@@ -9,23 +9,11 @@ from pyspark.sql import functions as F
 
 from corrolith import vocab
 from corrolith.functions import scalars as S
-from corrolith.operators import graph, history, ledger, vectors
-from corrolith.plans.bridge import frame, with_sql
-
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
-
-def _query(sql: str, *shapes: str):
-    def keep(f):
-        _ALL[f.__name__] = (f, f"{with_sql(*shapes)}{sql}" if shapes else sql)
-        return f
-
-    return keep
-
-
-def _in(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+from corrolith.operators import clusters, graph, history, ledger, vectors
+from corrolith.plans import registry
+from corrolith.plans.bridge import frame
 
+_query, _in = registry.query, registry.listed
 
 LIVE = f"status NOT IN {_in(vocab.DEAD)}"
 STRICT = f"status IN {_in(vocab.STRICT)}"
@@ -305,15 +293,19 @@ def cosine_topk(spark, sf):
 _PAIRS = f", p AS (SELECT a.source_id AS a, b.source_id AS b, 1 - {_COS} AS distance FROM b_embedding a JOIN b_embedding b ON a.workspace_id = b.workspace_id AND a.source_id < b.source_id)"
 
 
+def _near(spark, sf):
+    """Pairs of vectors of a workspace, of its 5000 first at most, as clustering considers them."""
+    return clusters.near_pairs(frame(spark, sf, EMB), clusters.Clustering(threshold=0.65), "source_id", "source_id")
+
+
 @_query(_PAIRS + " SELECT a, b, round(distance, 6) AS distance FROM p WHERE distance <= 0.65", EMB)
 def similarity_pairs(spark, sf):
-    return vectors.near_pairs(frame(spark, sf, EMB), 0.65).select("a", "b", F.round("distance", 6).alias("distance"))
+    return _near(spark, sf).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @_query(_PAIRS + ", l AS (SELECT a, b FROM p WHERE distance <= 0.65), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT source_id AS node, source_id AS o FROM b_embedding UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.o) SELECT node, min(o) AS label FROM r GROUP BY 1", EMB)
 def cluster_components(spark, sf):
-    emb = frame(spark, sf, EMB)
-    return vectors.components(emb.select(F.col("source_id").alias("node")), vectors.near_pairs(emb, 0.65))
+    return vectors.components(frame(spark, sf, EMB).select(F.col("source_id").alias("node")), _near(spark, sf))
 
 
 @_query(""", x AS (SELECT concept_id, row_number() OVER (ORDER BY confidence DESC, concept_id) - 1 AS r FROM b_concept WHERE status = 'active'), y AS (SELECT concept_id, row_number() OVER (ORDER BY recall_count DESC, concept_id) - 1 AS r FROM b_concept WHERE status = 'active'),
@@ -338,11 +330,3 @@ def context_budget(spark, sf):
 @_query(" SELECT DISTINCT concept_id FROM b_feedback_events f WHERE NOT EXISTS (SELECT 1 FROM b_concept c WHERE c.concept_id = f.concept_id)", FB, CON)
 def fk_violations(spark, sf):
     return ledger.missing_references(frame(spark, sf, FB), "concept_id", _con(spark, sf), "concept_id").select("concept_id").distinct()
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _ALL.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _ALL.items()}

@@ -10,13 +10,13 @@ RECALLABLE = ("active", "disputed")
 
 NEGATIONS = (("has", "not_has"), ("depends_on", "not_depends_on"), ("related_to", "not_related_to"))
 PREDICATES = {
-    "has": "has have has_field contains contain includes include owns possesses",
-    "not_has": "not_has not_have not_has_field lacks lacks_field missing does_not_have doesnt_have does_not_contain doesnt_contain excludes without",
-    "depends_on": "depends_on depend_on depends depends_upon requires uses dependency",
-    "not_depends_on": "not_depends_on not_depend_on does_not_depend_on doesnt_depend_on not_depends",
-    "related_to": "related_to relate_to related possibly_related possibly_related_to may_relate_to associated_with associates_with links_to linked_to references",
-    "not_related_to": "not_related_to not_relate_to unrelated not_associated not_associated_with",
-    "causes": "causes cause is_root_cause root_cause root_cause_of leads_to lead_to triggers results_in",
+    "has": ("has", "have", "has_field", "contains", "contain", "includes", "include", "owns", "possesses"),
+    "not_has": ("not_has", "not_have", "not_has_field", "lacks", "lacks_field", "missing", "does_not_have", "doesnt_have", "does_not_contain", "doesnt_contain", "excludes", "without"),
+    "depends_on": ("depends_on", "depend_on", "depends", "depends_upon", "requires", "uses", "dependency"),
+    "not_depends_on": ("not_depends_on", "not_depend_on", "does_not_depend_on", "doesnt_depend_on", "not_depends"),
+    "related_to": ("related_to", "relate_to", "related", "possibly_related", "possibly_related_to", "may_relate_to", "associated_with", "associates_with", "links_to", "linked_to", "references"),
+    "not_related_to": ("not_related_to", "not_relate_to", "unrelated", "not_associated", "not_associated_with"),
+    "causes": ("causes", "cause", "is_root_cause", "root_cause", "root_cause_of", "leads_to", "lead_to", "triggers", "results_in"),
 }
 
 #: Evidence type: added alpha, added beta.
@@ -62,3 +62,30 @@ INTENT_WORDS = (
     ("review_history", ("之前", "上次", "历史", "原来", "previous", "history", "last time")),
 )
 CORRECTION_CUES = ("不对", "错了", "不是这样", "应该是", "你搞错", "搞错了", "wrong", "that's incorrect", "not quite", "actually", "更正", "纠正")
+#: Keys that name no entity in a query.
+QUERY_STOPWORDS = ("the", "and", "for", "with", "that", "this", "what", "when", "where", "why", "how", "确认", "是不是", "有没有", "之前", "上次", "历史")
+#: Keys that name no entity in feedback.
+FEEDBACK_STOPWORDS = ("还有", "补充", "另外", "加上", "also", "and", "the", "for", "with", "this", "that", "还要", "以及")
+#: Intent: percent of the budget for preferences, facts, rejected hypotheses, task state and entities.
+INTENT_BUDGETS = {
+    "continue_investigation": (10, 30, 10, 35, 15),
+    "verify_fact": (10, 45, 20, 10, 15),
+    "correct_mistake": (10, 30, 35, 10, 15),
+    "add_knowledge": (15, 30, 10, 25, 20),
+    "review_history": (15, 40, 15, 15, 15),
+    "general_query": (15, 40, 15, 15, 15),
+}
+#: Source type of an observation: how far its extraction is trusted. Unknown types count as assistant_guess.
+TRUST = {"file_evidence": 0.9, "user_confirm": 0.85, "user_negation": 0.8, "user_message": 0.7, "assistant_guess": 0.3}
+#: Endings that the aggressive entity key drops, in the order in which they are tried.
+PASCAL_ENDINGS = ("Impl", "Class", "Type", "Model", "Table", "Entity", "Info", "Data", "Object", "Service", "Manager", "Handler", "Config")
+JOINED_ENDINGS = ("_table", "_tbl", "_entity", "_model", "_class", "_type", "_info", "_data", "_config", "_obj", "_mgr", "_manager", "_service", "_handler")
+BARE_ENDINGS = ("service", "handler", "manager", "config", "entity", "model", "class", "table", "type", "info", "data", "object", "impl")
+#: Statuses of concepts, candidates and timeline entries; scopes in order; relation types, and those whose ends have an order.
+CONCEPT_STATUSES = ("candidate", "active", "labile", "deprecated", "disputed")
+CANDIDATE_STATUSES = ("candidate", "promoted", "rejected", "superseded")
+TIMELINE_STATUSES = ("active", "expired", "superseded")
+SCOPES = ("project", "domain", "global")
+RELATION_TYPES = ("shared_entity", "shared_session", "embedding_similarity", "temporal")
+DIRECTED = ("temporal",)
+MEMORY_ACTIONS = ("add", "reinforce", "update", "merge", "skip")
