@@ -221,8 +221,8 @@ def correction_signal(text: Column, implicit: bool = True) -> Column:
 
 
 def days_since(now: Column, created: Column) -> Column:
-    """Days from a time to now, at least 0; 0 where it is unknown."""
-    return F.coalesce(F.greatest(F.unix_seconds(now) - F.unix_seconds(created), F.lit(0)) / 86400.0, F.lit(0.0))
+    """Whole seconds from a time to now in days, at least 0; 0 where the time is unknown."""
+    return F.coalesce(F.greatest(F.floor((F.unix_micros(now) - F.unix_micros(created)) / 1000000), F.lit(0)) / 86400.0, F.lit(0.0))
 
 
 def evidence_seed(source: Column) -> tuple[Column, Column]:
@@ -238,3 +238,10 @@ def known_source(source: Column) -> Column:
 def label_hash(text: Column) -> Column:
     """A short name of a text; which one doesn't matter, as long as different texts differ."""
     return F.md5(text)
+
+
+def tolerant_items(text: Column) -> Column:
+    """Items of a serialised list without empty ones; a text that is no such list is one item, none has no items."""
+    items = F.from_json(text, "array<string>")
+    empty = F.array().cast("array<string>")
+    return F.when(text.isNull() | (text == ""), empty).when(items.isNotNull() & text.rlike(r"^\s*\["), F.filter(items, lambda i: i.isNotNull() & (i != ""))).otherwise(F.array(text))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corrolith import vocab
 from corrolith.functions.scalars import looked_up
-from corrolith.operators.ledger import strict
+from corrolith.operators.ledger import null_safe, strict
 
 
 def visible(concepts: DataFrame, workspace: str, domains: list[str], with_global: bool = True) -> DataFrame:
@@ -143,7 +143,68 @@ def aliases(links: DataFrame, hops: int = 8) -> DataFrame:
 
 
 def promotion(concepts: DataFrame, workspaces: str = "cross_project_count", conflicts: str = "conflict_count") -> DataFrame:
-    """Scope that a concept's evidence allows; null: none. It never lowers a scope."""
+    """Scope that a concept's evidence allows, in to_scope; null: none. What is done about it is told by promoted()."""
     sessions = F.greatest("connection_count", "recall_count", F.lit(1))
     fits = lambda n, c, s: (F.col(workspaces) >= n) & (F.col("confidence") >= c) & (sessions >= s)
     return concepts.withColumn("to_scope", F.when(F.col(conflicts) > 0, None).when(fits(3, 0.85, 3), "global").when(fits(2, 0.75, 2), "domain"))
+
+
+def promoted(evaluated: DataFrame, domain_key: str | None) -> DataFrame:
+    """Concepts after their promotion() has been carried out: lifecycle_scope, scope_key, changed, and reported, the scope that
+    is told as reached. A scope is never lowered, and without a domain's key nobody is promoted to a domain."""
+    rank = lambda c: F.array_position(F.array(*map(F.lit, vocab.SCOPES)), F.col(c))
+    allowed = F.col("to_scope").isNotNull() & ((F.col("to_scope") != "domain") | F.lit(domain_key is not None))
+    up = F.coalesce(allowed & (rank("to_scope") > rank("lifecycle_scope")), F.lit(False))
+    scope = F.when(up, F.col("to_scope")).otherwise(F.col("lifecycle_scope"))
+    key = F.when(up & (F.col("to_scope") == "domain"), F.lit(domain_key)).when(up, F.lit(None)).otherwise(F.col("scope_key"))
+    return evaluated.withColumns({"changed": up, "reported": F.when(allowed, scope), "__scope": scope, "__key": key}).withColumns({"lifecycle_scope": F.col("__scope"), "scope_key": F.col("__key")}).drop("__scope", "__key", "to_scope")
+
+
+def promotion_aliases(done: DataFrame, before: DataFrame, least: int = 2) -> DataFrame:
+    """For concepts that were promoted, the project concept of another workspace that becomes their alias: the one that shares
+    most entities, least of them; concept_id, peer_id, overlap. A peer that several ask for goes to the first concept."""
+    changed = done.filter("changed").select("concept_id")
+    met = peers(before, least).join(changed, "concept_id", "left_semi").join(before.select(F.col("concept_id").alias("peer_id"), "confidence"), "peer_id")
+    order = Window.partitionBy("concept_id").orderBy(F.desc("overlap"), F.desc("confidence"), "peer_id")
+    best = met.withColumn("n", F.row_number().over(order)).filter("n = 1")
+    return best.groupBy("peer_id").agg(F.min_by(F.struct("concept_id", "overlap"), "concept_id").alias("b")).select("b.concept_id", "peer_id", "b.overlap")
+
+
+def with_aliases(concepts: DataFrame, links: DataFrame) -> DataFrame:
+    """Concepts with those that became an alias (peer_id) deprecated."""
+    gone = links.select(F.col("peer_id").alias("concept_id"), F.lit(True).alias("__gone")).distinct()
+    return concepts.join(gone, "concept_id", "left").withColumn("status", F.when(F.col("__gone"), "deprecated").otherwise(F.col("status"))).drop("__gone")
+
+
+def related_counts(concepts: DataFrame, obs: DataFrame, first: int = 3) -> DataFrame:
+    """concept_id and cross_project_count: the largest number of workspaces in which a triple is live, over the observations of
+    the concept's workspace, whatever their status, that name one of its first entities; at least 1."""
+    counts = obs.filter(~F.col("status").isin(*vocab.DEAD)).select("subject_text", "predicate", "object_text", "workspace_id").distinct()
+    counts = counts.groupBy("subject_text", "predicate", "object_text").agg(F.count(F.lit(1)).alias("n"))
+    said = obs.select("workspace_id", "subject_text", "predicate", "object_text").distinct()
+    told = null_safe(said, counts, ("subject_text", "predicate", "object_text"))
+    named = told.select("workspace_id", F.explode(F.array_distinct(F.array("subject_text", "object_text"))).alias("entity"), "n").filter("entity IS NOT NULL").groupBy("workspace_id", "entity").agg(F.max("n").alias("n"))
+    own = concepts.select("concept_id", "workspace_id", F.explode(F.slice("related_entities", 1, first)).alias("entity"))
+    most = own.join(named, ["workspace_id", "entity"]).groupBy("concept_id").agg(F.max("n").alias("n"))
+    return concepts.select("concept_id").join(most, "concept_id", "left").select("concept_id", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("cross_project_count"))
+
+
+def promotion_candidates(concepts: DataFrame, obs: DataFrame, triple: tuple[str, str, str | None]) -> DataFrame:
+    """Active project concepts that a new observation of a triple may promote: those of each workspace in which the triple is
+    live that name its subject or object, the most confident ones; concept_id, workspace_id."""
+    s, p, o = triple
+    there = obs.filter((F.col("subject_text") == s) & (F.col("predicate") == p) & F.col("object_text").eqNullSafe(F.lit(o)) & ~F.col("status").isin(*vocab.DEAD)).select("workspace_id").distinct()
+    wanted = [x for x in (s, o) if x is not None]
+    own = concepts.filter((F.col("status") == "active") & F.arrays_overlap("related_entities", F.array(*map(F.lit, wanted)))).join(there, "workspace_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc("confidence"), "concept_id"))
+    return own.withColumn("n", rank).filter((F.col("n") <= 20) & (F.col("lifecycle_scope") == "project")).select("concept_id", "workspace_id")
+
+
+def link_report(concepts: DataFrame, shared: DataFrame, batches: DataFrame, causes: DataFrame, most: int = 8) -> DataFrame:
+    """What a linking run did: workspace_id, pieces of evidence by phase, and entities skipped for having too many owners."""
+    per = lambda df, name: df.groupBy("workspace_id").agg(F.count(F.lit(1)).alias(name))
+    hot = entity_index(concepts).groupBy("workspace_id", "entity").count().filter(F.col("count") > most)
+    out = concepts.select("workspace_id").distinct()
+    for df, name in ((shared, "shared_entity_evidence"), (batches, "coclaim_evidence"), (causes, "causal_evidence"), (hot, "skipped_hot_entities")):
+        out = out.join(per(df, name), "workspace_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

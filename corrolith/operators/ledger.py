@@ -59,8 +59,9 @@ def oldest_live(obs: DataFrame) -> DataFrame:
 def coclaim_pairs(obs: DataFrame) -> DataFrame:
     """Pairs of observations of one extraction batch, smaller id first. Batches are small by construction: one per call."""
     ids = obs.filter("extraction_batch_id IS NOT NULL").select("extraction_batch_id", "observation_id").distinct()
+    # an observation has one batch, so a pair of one batch is met once
     a, b = ids.withColumnRenamed("observation_id", "a"), ids.withColumnRenamed("observation_id", "b")
-    return a.join(b, "extraction_batch_id").filter("a < b").select("a", "b").distinct()
+    return a.join(b, "extraction_batch_id").filter("a < b").select("a", "b")
 
 
 def coclaim_siblings(obs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -96,27 +97,44 @@ def low_value(obs: DataFrame, alpha: float = 1.2, confidence: float = 0.45) -> D
 def maintained(obs: DataFrame) -> DataFrame:
     """State of strictly live rows after one pass of maintenance: of equal triples the strongest stays and gains one alpha
     for each other; where a predicate and its negation meet, the rows that stay have their first alpha and two more beta;
-    weak guesses are deprecated."""
+    weak guesses are deprecated. Triples are aggregated and joined back, so a frequent one is combined before it meets."""
     rows = strict(obs).withColumn("eff", effective_confidence())
-    group = Window.partitionBy("workspace_id", *TRIPLE)
-    ranked = rows.withColumn("rn", F.row_number().over(group.orderBy(F.desc("eff"), "observation_id"))).withColumn("n", F.count("*").over(group))
-    ranked = ranked.withColumn("keep", F.first("observation_id").over(group.orderBy(F.desc("eff"), "observation_id")))
+    best = rows.groupBy("workspace_id", *TRIPLE).agg(F.min(F.struct((-F.col("eff")).alias("e"), "observation_id")).alias("b"), F.count("*").alias("n"))
+    ranked = null_safe(rows, best.select("workspace_id", *TRIPLE, F.col("b.observation_id").alias("keep"), "n"), ("workspace_id", *TRIPLE))
     hit = conflicts(obs).select("workspace_id", "subject_text", "object_text", F.lit(True).alias("conflict"))
     out = null_safe(ranked, hit, ("workspace_id", "subject_text", "object_text"), "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
-    stays = F.col("rn") == 1
+    stays = F.col("observation_id") == F.col("keep")
     weak = (F.col("source_type") == "assistant_guess") & (F.col("evidence_alpha") <= 1.2) & (fact_confidence() < 0.45)
     return out.select(
-        "observation_id",
+        "observation_id", "workspace_id",
         F.when(stays & ~F.col("conflict"), F.col("evidence_alpha") + F.col("n") - 1).otherwise(F.col("evidence_alpha")).alias("evidence_alpha"),
         F.when(stays & F.col("conflict"), F.col("evidence_beta") + 2).otherwise(F.col("evidence_beta")).alias("evidence_beta"),
         F.when(~stays, "superseded").when(weak, "deprecated").otherwise(F.col("status")).alias("status"),
-        F.when(~stays, F.concat(F.lit("dream-merge:"), "keep")).alias("superseded_by"),
-    )
+        F.when(~stays, F.concat(F.lit("dream-merge:"), "keep")).alias("superseded_by"), F.lit(True).alias("consolidated"), F.col("conflict").alias("softened"),
+    )
 
 
-def insert_absent(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored; of several rows of a key one stays."""
-    return rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def after_maintenance(obs: DataFrame) -> DataFrame:
+    """The whole ledger after maintained(); rows that are not strictly live stay as they are."""
+    new = maintained(obs).drop("workspace_id", "softened")
+    columns = [c for c in new.columns if c != "observation_id"]
+    out = obs.join(new.select("observation_id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns]), "observation_id", "left")
+    for c in columns:
+        was = F.col(c) if c in obs.columns else F.lit(None).cast(new.schema[c].dataType)
+        out = out.withColumn(c, F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(was))
+    return out.drop("__hit", *[f"__{c}" for c in columns])
+
+
+def maintenance_report(state: DataFrame) -> DataFrame:
+    """What maintained() did in each workspace: rows merged away, softened, archived and looked through."""
+    count = lambda c: F.sum(c.cast("long"))
+    live_ = F.col("status") != "superseded"
+    return state.groupBy("workspace_id").agg(count(~live_).alias("merged"), count(live_ & F.col("softened")).alias("softened"), count(F.col("status") == "deprecated").alias("archived"), F.count(F.lit(1)).alias("consolidated"))
+
+
+def of_triple(obs: DataFrame, subject: str, predicate: str, obj: str | None) -> DataFrame:
+    """Live rows of a triple in any workspace; a null object is one of its own."""
+    return live(obs).filter((F.col("subject_text") == subject) & (F.col("predicate") == predicate) & F.col("object_text").eqNullSafe(F.lit(obj)))
 
 
 def missing_references(rows: DataFrame, key: str, target: DataFrame, target_key: str) -> DataFrame:

@@ -88,7 +88,7 @@ SELECT observation_id, CASE WHEN rn = 1 AND NOT hit THEN evidence_alpha + n - 1
   CASE WHEN rn > 1 THEN concat('dream-merge:', keep) END AS superseded_by
 FROM r JOIN c ON r.workspace_id = c.workspace_id AND r.subject_text = c.subject_text AND r.object_text IS NOT DISTINCT FROM c.object_text""", OBS)
 def dream_state(spark, sf):
-    return ledger.maintained(_obs(spark, sf))
+    return ledger.maintained(_obs(spark, sf)).drop("workspace_id", "consolidated", "softened")
 
 
 # ---- concepts and edges ----
@@ -121,9 +121,9 @@ def entity_vocabulary(spark, sf):
     return graph.vocabulary(_con(spark, sf))
 
 
-@_query(NARROW + " SELECT a.concept_id, b.concept_id AS peer_id, count(*) AS overlap FROM i a JOIN i b ON a.entity = b.entity AND a.workspace_id <> b.workspace_id WHERE b.concept_id IN (SELECT concept_id FROM b_concept WHERE lifecycle_scope = 'project') GROUP BY 1, 2", CON)
+@_query(IDX + " SELECT a.concept_id, b.concept_id AS peer_id, count(*) AS overlap FROM i a JOIN i b ON a.entity = b.entity AND a.workspace_id <> b.workspace_id WHERE b.concept_id IN (SELECT concept_id FROM b_concept WHERE lifecycle_scope = 'project') GROUP BY 1, 2", CON)
 def cross_workspace_peers(spark, sf):
-    return graph.peers(_con(spark, sf))  # over all related entities; the SQL above knows the narrow one only
+    return graph.peers(_con(spark, sf))
 
 
 _SHARED = IDX + ", f AS (SELECT workspace_id, entity FROM i GROUP BY ALL HAVING count(*) <= 8), sh AS (SELECT a.workspace_id, a.concept_id AS src, b.concept_id AS dst, 'shared_entity' AS relation_type, 'repeated_occurrence' AS evidence FROM i a JOIN i b USING (workspace_id, entity) JOIN f USING (workspace_id, entity) WHERE a.concept_id < b.concept_id)"
@@ -162,9 +162,11 @@ _CAUSES = NARROW + """, ca AS (SELECT least(a.concept_id, b.concept_id) AS src,
   FROM b_cause o JOIN i a ON o.workspace_id = a.workspace_id AND o.subject_text = a.entity JOIN i b ON o.workspace_id = b.workspace_id AND o.object_text = b.entity WHERE a.concept_id <> b.concept_id)"""
 
 
-@_query(_CAUSES + _fold("ca"), CON, "b_cause")
+_CAUSES_TIMED = _CAUSES.replace("b_cause o", "b_cause_timed o").replace(" AS evidence\n", " AS evidence, created_ts, observation_id\n")
+
+
+@_query(_CAUSES_TIMED + _fold_ordered("ca", "created_ts DESC, observation_id, evidence"), CON, "b_cause_timed")
 def causes_edges(spark, sf):
-    # folded in order; the SQL above knows the final sums only
     return _edges(graph.fold_edges_ordered(graph.causes_events(_narrow(spark, sf), frame(spark, sf, "b_cause_timed")), newest()))
 
 
@@ -172,9 +174,9 @@ _BATCH = NARROW + """, m AS (SELECT DISTINCT o.workspace_id, extraction_batch_id
 ba AS (SELECT a.concept_id AS src, b.concept_id AS dst, 'shared_session' AS relation_type, 'repeated_occurrence' AS evidence FROM m a JOIN m b USING (workspace_id, extraction_batch_id) WHERE a.concept_id < b.concept_id)"""
 
 
-@_query(_BATCH + _fold("ba"), CON, "b_cause")
+@_query(_BATCH.replace("b_cause o JOIN", f"(SELECT * FROM b_claim WHERE {STRICT}) o JOIN") + _fold("ba"), CON, "b_claim")
 def batch_edges(spark, sf):
-    return _edges(graph.fold_edges(graph.batch_events(_narrow(spark, sf), frame(spark, sf, "b_claim"))))  # all line items; the SQL above reads causes only
+    return _edges(graph.fold_edges(graph.batch_events(_narrow(spark, sf), frame(spark, sf, "b_claim"))))
 
 
 _LINK = _SHARED.replace(", i AS", ", i0 AS").replace("FROM i ", "FROM i0 ").replace("JOIN i ", "JOIN i0 ") + _CAUSES.replace("b_cause o", "b_cause_timed o").replace(" AS evidence\n", " AS evidence, created_ts, observation_id\n") + _BATCH.removeprefix(NARROW).replace("b_cause o JOIN", f"(SELECT * FROM b_claim WHERE {STRICT}) o JOIN") + """,
