@@ -323,10 +323,10 @@ def append_items(spark, sf):
     return _mod(spark, sf).select("concept_id", F.array_join(S.appended(F.col("known_facts"), F.concat(F.lit("fits brand#"), number)), ";").alias("facts"))
 
 
-@query(" SELECT event_id, round(floor(greatest(epoch_us(TIMESTAMP '2024-01-15 00:00:00') - epoch_us(ts), 0) / 1e6) / 86400e0, 6) AS days FROM b_feedback_events", FB)
+@query(" SELECT event_id, round(floor(greatest(epoch_us(TIMESTAMP '2024-01-15 00:00:00') - epoch_us(ts), 0) / 1e6) / 86400e0, 4) AS days FROM b_feedback_events", FB)
 def days_since(spark, sf):
     now = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    return frame(spark, sf, FB).select("event_id", F.round(S.days_since(now, F.col("ts").cast("timestamp")), 6).alias("days"))
+    return frame(spark, sf, FB).select("event_id", F.round(S.days_since(now, F.col("ts").cast("timestamp")), 4).alias("days"))
 
 
 @query(" SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a|b' ELSE text END AS items FROM conversations")
