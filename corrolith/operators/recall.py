@@ -190,7 +190,8 @@ def days_between(now: str, anchor: Column) -> Column:
     """Whole seconds from an RFC 3339 time to now, in days, at least 0; null where the anchor is no such time."""
     good = anchor.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
     at = F.try_to_timestamp(F.when(good, anchor))
-    return F.greatest(F.floor(F.unix_micros(F.lit(now).cast("timestamp")) / 1000000 - F.unix_micros(at) / 1000000), F.lit(0)) / 86400.0
+    seconds = F.floor((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(at)) / 1000000)
+    return F.when(at.isNotNull(), F.greatest(seconds, F.lit(0)) / 86400.0)
 
 
 def rank(concepts: DataFrame, embeddings: DataFrame, workspace: str, wanted: list[str], query_vector: DataFrame, now: str, see: Visibility = Visibility(), tau: float = 90.0, normal=None) -> DataFrame:
