@@ -51,7 +51,7 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 DROPPED = -0.2
 #: Places inside and outside the mark of a page that has one, and the weights of words and tags in places not counted.
 IN, OFF = "in/", "off/"
-UNSEEN = {IN: (1.0, -0.001), OFF: (-1.0, -0.5), "": (1.0, -0.5)}
+UNSEEN = {IN: (1.0, -0.001), OFF: (-1.0, -0.5), "": (1.0, -0.1)}
 #: Largest weight of a place.
 MOST = 3.0
 
