@@ -292,7 +292,7 @@ def test_pages_without_marks_give_the_same_text(spark):
 def test_html_odd_input(spark):
     deep = "<div>" * 3000 + "<p>deep text</p>" + "</div>" * 3000
     long = "<article>" + "<p>word &amp; word</p>" * 30_000 + "</article>"
-    rows = [(1, "u", deep), (1, "u", deep), (None, None, long), (3, "u", "<p>a</p><p>a</p>"), (4, "u", "<<>></"), (5, "u", "plain &lt;text&gt;"), (6, "u", "<article><p>one two</p></article><p>x</p><article><p>a b c</p></article>"), (7, "u", "<nav>menu</nav><form>f</form>"), (8, "u", "")]
+    rows = [(1, "u", deep), (1, "u", deep), (None, None, long), (3, "u", "<p>a</p><p>a</p>"), (4, "u", "<<>></"), (5, "u", "plain &lt;text&gt;"), (6, "u", "<article><p>one two three four</p></article><p>x</p><article><p>a b c</p></article>"), (7, "u", "<nav>menu</nav><form>f</form>"), (8, "u", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_extract.extract(df, html_extract.Weights()).collect()
     texts = defaultdict(list)
@@ -300,7 +300,7 @@ def test_html_odd_input(spark):
         texts[r.page_id].append(r.text)
         assert r.n_chars == len(r.text)
     assert texts[1] == ["deep text"] * 2 and texts[None] == ["\n\n".join(["word & word"] * 30_000)] and texts[3] == ["a\n\na"] and texts[5] == ["plain <text>"] and texts[7] == [""] and texts[8] == [""]
-    assert texts[6] == ["one two\n\na b c"]  # words between two marked passages are no part
+    assert texts[6] == ["one two three four\n\na b c"]  # words between two marked passages are no part
     assert html_extract.extract(df.limit(0), html_extract.learn_weights(df.limit(0))).count() == 0
 
 
