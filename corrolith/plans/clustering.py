@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrolith.functions import scalars as S
-from corrolith.operators import clusters, graph, transfer
+from corrolith.operators import clusters, graph, transfer, vectors
 from corrolith.plans import queries as Q
 from corrolith.plans.bridge import frame
 from corrolith.plans.registry import query
@@ -166,21 +166,22 @@ _CAUSAL = Q._CAUSES.replace("b_cause o", "b_cause_timed o").replace(" AS evidenc
 _EDGES = _PEERS + _CAUSAL + ", t AS (" + Q._fold_ordered("ca", "created_ts DESC, observation_id, evidence") + "), te AS (SELECT p.concept_id AS peer_id, p.workspace_id, similarity, src, dst, relation_type, weight, lifecycle FROM peers p JOIN t ON t.src = p.concept_id OR t.dst = p.concept_id WHERE lifecycle IN ('validated', 'confirmed'))"
 
 
-def _edges(spark, sf):
+def _edges(spark, sf, peers):
     edges = graph.fold_edges_ordered(graph.causes_events(Q._narrow(spark, sf), frame(spark, sf, "b_cause_timed")), Q.newest())
-    return transfer.transfer_edges(_peers(spark, sf), edges)
+    return transfer.transfer_edges(peers, edges)
 
 
 @query(_EDGES + " SELECT peer_id, workspace_id, src, dst, weight, lifecycle FROM te", "b_concept", "b_cause", "b_cause_timed")
 def transfer_edges(spark, sf):
-    return _edges(spark, sf).select("peer_id", "workspace_id", "src", "dst", F.round("weight", 6).alias("weight"), "lifecycle")
+    return _edges(spark, sf, _peers(spark, sf)).select("peer_id", "workspace_id", "src", "dst", F.round("weight", 6).alias("weight"), "lifecycle")
 
 
 @query(_EDGES + """, few AS (SELECT *, row_number() OVER (PARTITION BY peer_id ORDER BY src, dst, relation_type) AS nth FROM te QUALIFY nth <= 3), first AS (SELECT concept_id, workspace_id, similarity FROM peers ORDER BY similarity DESC, concept_id LIMIT 12)
 SELECT CAST(row_number() OVER (ORDER BY f.similarity DESC, concept_id, nth NULLS FIRST) AS INT) AS place, CASE WHEN src IS NULL THEN printf('[%s] 结构相似度 %.2f，但无已验证因果边可迁移', f.workspace_id, f.similarity)
   ELSE printf('[%s · sim %.2f] 因果边 %s → %s（%s，weight %.2f）', f.workspace_id, f.similarity, src, dst, concat(upper(lifecycle[1]), lifecycle[2:]), weight) END AS note FROM first f LEFT JOIN few ON peer_id = concept_id QUALIFY place <= 12""", "b_concept", "b_cause", "b_cause_timed")
 def transfer_notes(spark, sf):
-    return transfer.transfer_notes(_peers(spark, sf), _edges(spark, sf))
+    peers = vectors.checkpointed(_peers(spark, sf))
+    return transfer.transfer_notes(peers, _edges(spark, sf, peers))
 
 
 @query(" SELECT concept_id, workspace_id FROM b_concept WHERE workspace_id <> 'ws-1' AND status = 'active'", "b_concept")

@@ -329,6 +329,6 @@ def context_budget(spark, sf):
     return vectors.within_budget(raw, "session_id", ["seq", "memory_id"], "size", 1500).select("memory_id", "used")
 
 
-@_query(" SELECT DISTINCT concept_id FROM b_feedback_events f WHERE NOT EXISTS (SELECT 1 FROM b_concept c WHERE c.concept_id = f.concept_id)", FB, CON)
+@_query(" SELECT DISTINCT concept_id FROM b_feedback_events f WHERE NOT EXISTS (SELECT 1 FROM b_concept c WHERE c.concept_id = f.concept_id AND status = 'active')", FB, CON)
 def fk_violations(spark, sf):
-    return ledger.missing_references(frame(spark, sf, FB), "concept_id", _con(spark, sf), "concept_id").select("concept_id").distinct()
+    return ledger.missing_references(frame(spark, sf, FB), "concept_id", _con(spark, sf).filter("status = 'active'"), "concept_id").select("concept_id").distinct()

@@ -14,8 +14,8 @@ from corrolith.plans.registry import listed, query
 TEXT, WORKSPACE, NOW = "Red bolt", "ws-1", "2026-01-01T00:00:00Z"
 SEE = recall.Visibility(("promo", "standard"), True)
 #: Shapes that the SQL below reads.
-SHAPES = ("b_module", "b_embedding")
-MOD, EMB = SHAPES
+SHAPES = ("b_module", "b_embedding", "b_claim")
+MOD, EMB, CLAIM = SHAPES
 
 _ELEVATED = f"(lifecycle_scope = 'global' OR (lifecycle_scope = 'domain' AND scope_key IN {listed(SEE.domains)}))"
 _SEEN = f"(workspace_id = '{WORKSPACE}' OR {_ELEVATED})"
@@ -47,10 +47,12 @@ den AS (SELECT source_id AS concept_id, score, row_number() OVER (ORDER BY score
 _SEED = _LEX + _dense(8) + """, seed AS (SELECT concept_id, coalesce(1e0 / (60 + l.r + 1), 0e0) + coalesce(1e0 / (60 + d.r + 1), 0e0) AS score, l.r AS lexical_rank, d.r AS dense_rank
   FROM (SELECT * FROM lex) l FULL JOIN den d USING (concept_id) ORDER BY score DESC, concept_id LIMIT 8),
 first AS (SELECT concept_id FROM seed ORDER BY score DESC, concept_id LIMIT 5)"""
-#: Edges of concepts that share an entity, as the linking query folds them.
+#: Edges of concepts that share an entity or a batch, as the linking queries fold them.
 _EDGES = """, oi AS (SELECT workspace_id, concept_id, unnest(list_distinct(ents)) AS entity FROM m WHERE status = 'active'),
 rare AS (SELECT workspace_id, entity FROM oi GROUP BY ALL HAVING count(*) <= 8),
-edge AS (SELECT workspace_id, a.concept_id AS src, b.concept_id AS dst, 'shared_entity' AS relation_type, (1 + count(*)) / (2e0 + count(*)) AS weight FROM oi a JOIN oi b USING (workspace_id, entity) JOIN rare USING (workspace_id, entity) WHERE a.concept_id < b.concept_id GROUP BY ALL)"""
+said AS (SELECT DISTINCT c.workspace_id, extraction_batch_id, concept_id FROM b_claim c JOIN oi ON oi.workspace_id = c.workspace_id AND entity = subject_text WHERE c.status IN STRICT),
+edge AS (SELECT workspace_id, a.concept_id AS src, b.concept_id AS dst, 'shared_entity' AS relation_type, (1 + count(*)) / (2e0 + count(*)) AS weight FROM oi a JOIN oi b USING (workspace_id, entity) JOIN rare USING (workspace_id, entity) WHERE a.concept_id < b.concept_id GROUP BY ALL
+  UNION ALL SELECT workspace_id, a.concept_id, b.concept_id, 'shared_session', (1 + count(*)) / (2e0 + count(*)) FROM said a JOIN said b USING (workspace_id, extraction_batch_id) WHERE a.concept_id < b.concept_id GROUP BY ALL)""".replace("STRICT", listed(vocab.STRICT))
 _FORWARD = f""", both_ends AS (SELECT src, dst, relation_type, weight FROM edge WHERE workspace_id = '{WORKSPACE}' UNION ALL SELECT dst, src, relation_type, weight FROM edge WHERE workspace_id = '{WORKSPACE}'),
 strongest AS (SELECT src, dst, relation_type, weight FROM both_ends WHERE src IN (SELECT concept_id FROM first) QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, relation_type) <= 5),
 fwd AS (SELECT dst AS concept_id, sum(weight) * 0.675e0 AS score FROM strongest WHERE dst NOT IN (SELECT concept_id FROM first) AND dst IN (SELECT concept_id FROM vis WHERE status IN ('active', 'disputed')) GROUP BY 1)"""
@@ -75,8 +77,9 @@ def _vector(spark: SparkSession, sf: str) -> DataFrame:
     return _emb(spark, sf).filter("source_id = 'v-0'").select("vector")
 
 
-def _edges(mod: DataFrame) -> DataFrame:
-    return graph.fold_edges(graph.shared_entity_events(mod))
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    mod = _mod(spark, sf)
+    return graph.fold_edges(graph.shared_entity_events(mod).union(graph.batch_events(mod, frame(spark, sf, CLAIM))))
 
 
 def _first(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +91,7 @@ def _first(spark: SparkSession, sf: str) -> DataFrame:
 
 def _compact(spark: SparkSession, sf: str) -> DataFrame:
     mod = _mod(spark, sf)
-    hits = recall.compact_search(mod, _emb(spark, sf), _edges(mod), WORKSPACE, TEXT, _vector(spark, sf), see=SEE, normal=None)
+    hits = recall.compact_search(mod, _emb(spark, sf), _edges(spark, sf), WORKSPACE, TEXT, _vector(spark, sf), see=SEE, normal=None)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -113,7 +116,7 @@ def cosine_topk_elevated(spark, sf):
 @query(_SEED + _EDGES + _FORWARD + " SELECT concept_id, round(score, 6) AS score FROM fwd", *SHAPES)
 def forward_expand(spark, sf):
     mod = _mod(spark, sf)
-    return recall.forward_expand(_first(spark, sf), _edges(mod), mod, WORKSPACE, recall.step_weight(3), SEE).select("concept_id", F.round("score", 6).alias("score"))
+    return recall.forward_expand(_first(spark, sf), _edges(spark, sf), mod, WORKSPACE, recall.step_weight(3), SEE).select("concept_id", F.round("score", 6).alias("score"))
 
 
 @query(_SEED + _REVERSE + " SELECT concept_id, round(score, 6) AS score FROM rev", *SHAPES)
