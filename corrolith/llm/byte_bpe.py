@@ -264,7 +264,8 @@ def tokenizer(path: str) -> ByteBpe:
 def encode_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """One row per document: doc_id, ids array<int>, and with decode also decoded binary (from the ids).
 
-    Null and empty texts have no ids and decode to nothing; repeated rows and null ids stay; other columns are not carried.
+    Null and empty texts have no ids and decode to nothing; repeated rows and null ids stay; whole texts are read, however
+    long; an empty table gives none; other columns are not read, so they may have any names.
     ranks: path of a tiktoken rank file on every worker.
     """
 
@@ -287,7 +288,7 @@ def encode_digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col
     """encode_documents() with its ids and decoded bytes reduced to digests in the same pass.
 
     One row per document: doc_id, n_tokens long, ids_sha256 (ids as little-endian unsigned 32-bit integers) and
-    decoded_sha256, both lowercase hex. Null texts count as empty.
+    decoded_sha256, both lowercase hex. Null texts count as empty; the rest is as in encode_documents().
     """
 
     def make():

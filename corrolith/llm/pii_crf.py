@@ -355,7 +355,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (long; base spans), base_sha256, spans (base and added).
 
     Spans are kind:start:end in code points, end exclusive, ordered by start and kind and joined by commas. Null and empty
-    texts have no span; repeated rows and null ids stay; other columns are not carried.
+    texts have no span; repeated rows and null ids stay; whole texts are read, however long; an empty table gives none; other
+    columns are not read, so they may have any names.
     """
     field = default_field()
     skip = field.plain_is_unlabelled()

@@ -155,8 +155,9 @@ def exact_topk(vectors: DataFrame, is_query: Column | str = "vec_id % 100 = 0",
 
     is_query is a condition on vec_id. Vectors that are null, or hold a null or non-finite component, and rows with a null
     id take no part; vectors of different lengths are not compared, nor a row with rows of its own id; ties go to the
-    smaller vec_id; a repeated row is a candidate as often as it comes, and asks once, with the least vector of its id. Fewer candidates than k give all of them.
-    Components beyond 64 bits are held at their limits.
+    smaller vec_id; a repeated row is a candidate as often as it comes, and asks once, with the least vector of its id. Fewer
+    candidates than k give all of them; an empty table, or one without queries, gives none. Components beyond 64 bits are held
+    at their limits. Other columns are not read, so they may have any names.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col)).alias("vec")).filter("vec is not null and vec_id is not null")

@@ -61,7 +61,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 def pieces_of(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of the ordinary pieces of a SentencePiece model file."""
+    """(piece, score) of the pieces of a SentencePiece model file that can be matched. User-defined and unused pieces count as
+    ordinary ones with the score they have; control, byte and unknown pieces are none."""
     with open(path, "rb") as f:
         message = f.read()
     found = []
@@ -155,7 +156,8 @@ def counter(path: str) -> UnigramCounter:
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens long, n_chars long (code points).
 
-    Null and empty texts have 0 of both; repeated rows and null ids stay as they are; other columns are not carried.
+    Null and empty texts have 0 of both; repeated rows and null ids stay as they are; whole texts are read, however long; an
+    empty table gives none; other columns are not read, so they may have any names.
     model: path of a SentencePiece model file on every worker; its pieces and scores are used as a unigram vocabulary.
     """
 

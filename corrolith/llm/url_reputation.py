@@ -124,8 +124,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, how: Reputation = Reputati
     """One row per row of pages: page_id, host, path, rule, verdict.
 
     A null url, or one without ://, has an empty host and path and no rule; it is allowed unless the empty host itself is
-    blocked. Hosts without labelled pages are judged by their domain, suffix or all pages. Repeated rows stay. Other columns
-    are not carried.
+    blocked. Hosts without labelled pages are judged by their domain, suffix or all pages. Repeated rows stay, an empty table gives
+    none, and urls may be of any length. Other columns are not read, so they may have any names.
     """
     url = F.col(url_col).cast("string")
     rule, verdict = rule_columns(rules)

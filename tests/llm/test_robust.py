@@ -469,5 +469,18 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert got == want
 
 
+def test_encoded_documents_decode_and_tell_where_tokens_end(spark):
+    from corrolith.llm import byte_bpe
+
+    texts = [None, "", "a b", "naïve 日本 \n\n x", "word " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    t = byte_bpe.tokenizer(Q.RANKS)
+    for r in byte_bpe.encode_documents(df, Q.RANKS, decode=True).collect():
+        whole = (texts[r.doc_id] or "").encode()
+        assert bytes(r.decoded) == whole
+        ends = t.token_ends(np.array(r.ids, np.int64)).tolist()
+        assert b"".join(whole[a:b] for a, b in zip([0, *ends], ends)) == whole and [t.ranks[whole[a:b]] for a, b in zip([0, *ends], ends)] == list(r.ids)
+
+
 def test_compare_knows_all_queries():
     assert set(Q.oracle_sql()) <= set(Q.queries()) and callable(compare.rows_of_sql)
