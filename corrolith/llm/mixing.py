@@ -66,15 +66,15 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _numbered(sizes: DataFrame) -> DataFrame:
-    """Adds place, the number of sources before this one. Names are first counted by their leading characters, so no task
-    holds all names unless they begin alike."""
-    lead = F.coalesce(F.substring("source", 1, 2), F.lit(""))
-    sizes = sizes.withColumn("__lead", lead).withColumn("__null", F.col("source").isNull())
-    leads = sizes.groupBy("__null", "__lead").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__null", "__lead").rowsBetween(Window.unboundedPreceding, -1)
-    leads = leads.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy("__null", "__lead").orderBy("source")) - 1
-    return sizes.join(leads, ["__null", "__lead"]).withColumn("place", place + F.col("__before")).drop("__null", "__lead", "__before")
+    """Adds place, the number of sources before this one. Sources are sorted by ranges; a source's place is the number of
+    sources in the ranges before its own, of which there are as many as partitions, and its number inside."""
+    order = ["__null", "source"]
+    ranged = sizes.withColumn("__null", F.col("source").isNull()).orderBy(*order).withColumn("__range", F.spark_partition_id())
+    ranged = written(ranged, "mix-order")
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn("__inside", inside).join(starts, "__range").withColumn("place", F.col("__inside") + F.col("__before")).drop("__null", "__range", "__inside", "__before")
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
