@@ -332,3 +332,12 @@ def context_budget(spark, sf):
 @_query(" SELECT DISTINCT concept_id FROM b_feedback_events f WHERE NOT EXISTS (SELECT 1 FROM b_concept c WHERE c.concept_id = f.concept_id AND status = 'active')", FB, CON)
 def fk_violations(spark, sf):
     return ledger.missing_references(frame(spark, sf, FB), "concept_id", _con(spark, sf).filter("status = 'active'"), "concept_id").select("concept_id").distinct()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All registered queries of the engine."""
+    return {k: f for k, (f, _) in registry.ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in registry.ALL.items() if s}
