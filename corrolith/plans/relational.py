@@ -290,7 +290,7 @@ def dream_ledger(spark, sf):
 SELECT workspace_id, (SELECT count(*) FROM sh WHERE sh.workspace_id = ws.workspace_id) AS shared_entity_evidence, (SELECT count(*) FROM ba JOIN cw ON src = concept_id WHERE cw.workspace_id = ws.workspace_id) AS coclaim_evidence, (SELECT count(*) FROM ca JOIN cw ON src = concept_id WHERE cw.workspace_id = ws.workspace_id) AS causal_evidence, coalesce((SELECT n FROM hot WHERE hot.workspace_id = ws.workspace_id), 0) AS skipped_hot_entities FROM ws""", CON, "b_cause_timed", "b_claim")
 def link_report(spark, sf):
     con, narrow = Q._con(spark, sf), Q._narrow(spark, sf)
-    return graph.link_report(con, graph.shared_entity_events(con), graph.batch_events(narrow, frame(spark, sf, "b_claim")), graph.causes_events(narrow, frame(spark, sf, "b_cause_timed")))
+    return graph.link_report(con, graph.shared_entity_count(con), graph.batch_count(narrow, frame(spark, sf, "b_claim")), graph.causes_count(narrow, frame(spark, sf, "b_cause_timed")))
 
 
 # ---- scalars ----
