@@ -12,10 +12,9 @@ from corrolith.operators import graph, ledger
 
 @dataclass
 class Consolidated:
-    """The tables after a run, what each phase found, and the report by workspace."""
+    """The tables after a run, and the report by workspace."""
 
     observations: DataFrame
-    events: DataFrame
     edges: DataFrame
     concepts: DataFrame
     aliases: DataFrame
@@ -27,8 +26,7 @@ def consolidate(concepts: DataFrame, obs: DataFrame, domain_key: str | None = No
     the workspaces in which what they are about is live, and one alias for each promoted concept."""
     state = ledger.maintained(obs)
     after = ledger.after_maintenance(obs)
-    events = graph.link_events(concepts, concepts, after, after)
-    edges = graph.fold_edges_ordered(events, ["phase", *(order or [F.desc("created_ts"), "observation_id", "evidence"])])
+    edges = graph.link_edges(concepts, concepts, after, after, ["phase", *(order or [F.desc("created_ts"), "observation_id", "evidence"])])
     counted = concepts.join(graph.related_counts(concepts, after), "concept_id").withColumn("conflict_count", F.lit(0))
     done = graph.promoted(graph.promotion(counted), domain_key)
     project = concepts.filter("lifecycle_scope = 'project'").select("concept_id")
@@ -36,9 +34,8 @@ def consolidate(concepts: DataFrame, obs: DataFrame, domain_key: str | None = No
     links = graph.promotion_aliases(told, concepts)
     new = told.filter("changed").select("concept_id", F.col("lifecycle_scope").alias("__scope"), F.col("scope_key").alias("__key"))
     kept = concepts.join(new, "concept_id", "left").withColumns({"scope_key": F.when(F.col("__scope").isNotNull(), F.col("__key")).otherwise(F.col("scope_key")), "lifecycle_scope": F.coalesce("__scope", "lifecycle_scope")}).drop("__scope", "__key")
-    per = lambda phase, name: events.filter(F.col("phase") == phase).groupBy("workspace_id").agg(F.count(F.lit(1)).alias(name))
     report = ledger.maintenance_report(state)
-    promoted = told.filter("reported IS NOT NULL").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("promoted"))
-    for more, name in ((per(0, "shared_entity_evidence"), "shared_entity_evidence"), (per(1, "coclaim_evidence"), "coclaim_evidence"), (per(2, "causal_evidence"), "causal_evidence"), (promoted, "promoted")):
-        report = report.join(more, "workspace_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return Consolidated(after, events, edges, graph.with_aliases(kept, links), links, report)
+    promoted = told.filter("reported IS NOT NULL").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n"))
+    for more, name in ((graph.shared_entity_count(concepts), "shared_entity_evidence"), (graph.batch_count(concepts, after), "coclaim_evidence"), (graph.causes_count(concepts, after), "causal_evidence"), (promoted, "promoted")):
+        report = report.join(more.withColumnRenamed("n", name), "workspace_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return Consolidated(after, edges, graph.with_aliases(kept, links), links, report)
