@@ -78,30 +78,58 @@ def plan(candidates: DataFrame, existing: DataFrame, normal=S.nfkc) -> DataFrame
     return rows.withColumn("action", action).drop("__s", "__o", "__t", "__sp", "__so")
 
 
-def fold_subject(candidates: list[dict], existing: list[dict]) -> list[dict]:
-    """What the candidates of one subject do, in order, to the live rows of that subject (newest first). One record per effect:
-    candidate_id, action, and the row that it reinforces, merges into or supersedes. What a candidate adds is not seen by
-    later ones."""
-    rows, out = [dict(r) for r in existing], []
-    for c in candidates:
-        alive = [r for r in rows if r["status"] not in vocab.DEAD]
-        same = lambda r, *names: all(r[n] == c[n] for n in names)
-        target = None
-        if not (c["subject_text"] or "").strip() or (not (c["evidence_text"] or "").strip() and c["source_type"] == "assistant_guess"):
+def _effects(candidates, existing) -> list[tuple]:
+    """What fold_subject tells, as (candidate, action, target): candidates are (subject, predicate, object, evidence, source,
+    id), existing (subject, predicate, object, status, created_ts, id). Rows are only ever superseded, so each list of rows is
+    passed through once, whatever the number of candidates."""
+    rows = [r for r in existing if r[3] not in vocab.DEAD]
+    gone = [False] * len(rows)
+    triple, by_predicate, by_object = {}, {}, {}
+    for i, (s, p, o, *_) in enumerate(rows):
+        triple.setdefault((s, p, o), []).append(i)
+        by_predicate.setdefault((s, p), []).append(i)
+        by_object.setdefault((s, o), []).append(i)
+    for listed in triple.values():
+        listed.sort(key=lambda i: (rows[i][4], rows[i][5]), reverse=True)
+    for lists in (by_predicate, by_object):  # the next one is last
+        for listed in lists.values():
+            listed.reverse()
+
+    def first(lists: dict, key: tuple) -> int | None:
+        listed = lists.get(key)
+        while listed and gone[listed[-1]]:
+            listed.pop()
+        return listed[-1] if listed else None
+
+    out = []
+    for s, p, o, evidence, source, id_ in candidates:
+        at = None
+        if not (s or "").strip() or (not (evidence or "").strip() and source == "assistant_guess"):
             action = "skip"
-        elif hits := [r for r in alive if same(r, "subject_text", "predicate", "object_text")]:
-            action, target = "reinforce", min(hits, key=lambda r: (r["created_ts"], r["observation_id"]))
-        elif hits := [r for r in alive if same(r, "subject_text", "predicate")]:
-            action, target = "update", hits[0]
-            target["status"] = "superseded"
-        elif hits := [r for r in alive if same(r, "subject_text", "object_text")]:
-            action, target = "merge", hits[0]
+        elif (at := first(triple, (s, p, o))) is not None:
+            action = "reinforce"
+        elif (at := first(by_predicate, (s, p))) is not None:
+            action = "update"
+            gone[at] = True
+        elif (at := first(by_object, (s, o))) is not None:
+            action = "merge"
         else:
             action = "add"
-        out.append({"candidate_id": c["observation_id"], "action": action, "target_id": target["observation_id"] if target else None})
+        out.append((id_, action, None if at is None else rows[at][5]))
     return out
 
 
+_OURS, _THEIRS = ("subject_text", "predicate", "object_text", "evidence_text", "source_type", "observation_id"), ("subject_text", "predicate", "object_text", "status", "created_ts", "observation_id")
+
+
+def fold_subject(candidates: list[dict], existing: list[dict]) -> list[dict]:
+    """What the candidates of one subject do, in order, to the live rows of that subject (newest first). One record per effect:
+    candidate_id, action, and the row that it reinforces, merges into or supersedes. What a candidate adds is not seen by
+    later ones."""
+    told = _effects([tuple(c[n] for n in _OURS) for c in candidates], [tuple(r[n] for n in _THEIRS) for r in existing])
+    return [dict(zip(("candidate_id", "action", "target_id"), t)) for t in told]
+
+
 EFFECTS = "workspace_id string, subject_text string, candidate_id string, action string, target_id string"
 
 
@@ -119,12 +147,13 @@ def apply_plan(candidates: DataFrame, existing: DataFrame, order: str = "place")
     asked = candidates.select(*key, "predicate", "object_text", "evidence_text", "source_type", "observation_id", F.col(order).alias("place"))
 
     def fold(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        clean = lambda f: [{k: None if pd.isna(v) else v for k, v in r.items()} for r in f.to_dict("records")]
+        columns = ["workspace_id", "subject_text", "candidate_id", "action", "target_id"]
         if not len(ours):
-            return pd.DataFrame(columns=["workspace_id", "subject_text", "candidate_id", "action", "target_id"])
+            return pd.DataFrame(columns=columns)
+        clean = lambda f, names: zip(*(f[n].astype(object).where(f[n].notna(), None).tolist() for n in names))
         ours = ours.sort_values(["place", "observation_id"])
         theirs = theirs.sort_values(["created_ts", "observation_id"], ascending=False)
-        out = pd.DataFrame(fold_subject(clean(ours), clean(theirs)))
+        out = pd.DataFrame(_effects(clean(ours, _OURS), clean(theirs, _THEIRS)), columns=columns[2:])
         out.insert(0, "workspace_id", ours["workspace_id"].iloc[0])
         out.insert(1, "subject_text", ours["subject_text"].iloc[0])
         return out
