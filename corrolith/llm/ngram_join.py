@@ -371,8 +371,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: s and c, the least node of its component, for nodes that are not it.
 
     Each round, every task replaces its edges by a forest of stars (node, root). A node with several roots links them to
-    the least one, and roots that have a root themselves are replaced by it. Rounds end when nothing changes; the number of
-    rounds grows with the logarithm of the longest chain. No task holds more than its own share of the edges.
+    the least one, and roots that have a root themselves are replaced by it. Rounds end when nothing changes, or when the
+    stars that are left fit into one forest, which a single task then completes; the number of rounds grows with the
+    logarithm of the longest chain. No task holds more than FOREST edges.
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,6 +397,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         now = written(now.mapInArrow(stars, f"s {kind}, c {kind}"), "join-stars")
         release(old)
+        if now.count() < FOREST:
+            done = written(now.coalesce(1).mapInArrow(stars, f"s {kind}, c {kind}"), "join-forest")
+            release(now)
+            return done
         least = now.groupBy("s").agg(F.min("c").alias("m"))
         above = least.select(F.col("s").alias("m"), F.col("m").alias("up"))
         told = now.join(least, "s").join(above, "m", "left")

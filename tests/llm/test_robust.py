@@ -484,3 +484,16 @@ def test_encoded_documents_decode_and_tell_where_tokens_end(spark):
 
 def test_compare_knows_all_queries():
     assert set(Q.oracle_sql()) <= set(Q.queries()) and callable(compare.rows_of_sql)
+
+
+def test_edges_that_fit_one_forest_need_no_rounds(spark, monkeypatch):
+    names, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: names.append(name) or write(df, name))
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40) if i % 10 != 9], "a string, b string").repartition(5)
+    want = {f"n{i:02}": f"n{i // 10 * 10:02}" for i in range(40) if i % 10}
+    assert {x.s: x.c for x in ngram_join.components(edges).collect()} == want
+    assert names == ["join-stars", "join-forest"]
+    names.clear()
+    monkeypatch.setattr(ngram_join, "FOREST", 12)  # less than the stars that are left
+    assert {x.s: x.c for x in ngram_join.components(edges).collect()} == want
+    assert "join-labels" in names and "join-forest" not in names
